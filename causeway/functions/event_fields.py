@@ -15,7 +15,17 @@ INCIDENT_STATUSES = ("failed", "error")
 # Fixed pattern: the address of the event specification.
 SPEC_URL = r"\Ahttps://openlineage\.io/spec/(\d+-\d+-\d+)/OpenLineage\.json\z"
 
-_TIME = r"\A(\d{4}-\d{2}-\d{2}T)(\d{1,2})(:\d{2}:\d{2})(?:[.,](\d+))?(Z|[+-]\d{2}:\d{2})?\z"
+_TIME = r"\A\d{4}-\d{2}-\d{2}T\d{1,2}:\d{2}:\d{2}([.,]\d+)?(Z|[+-]\d{2}:\d{2})?\z"
+# Rewrites to RFC 3339 with nanoseconds and no trailing zeros, applied in this order.
+_TIME_STEPS = (
+    (r"\A(?<day>.{10}T)(?<hour>\d:)", "${day}0${hour}"),
+    (r",", "."),
+    (r"(\.\d{9})\d+", "$1"),
+    (r"(\.\d*?)0+(?=\D|\z)", "$1"),
+    (r"\.(?=\D|\z)", ""),
+    (r"[+-]00:00\z", "Z"),
+    (r"(?<!Z|[+-]\d{2}:\d{2})\z", "Z"),
+)
 _VERSION = r"\Av?\d+\.\d+"
 
 
@@ -25,25 +35,19 @@ def event_time_text(text: Column) -> Column:
     A time without an offset is read as UTC.
     """
     raw = trimmed(text)
-    hour = F.lpad(F.regexp_extract(raw, _TIME, 2), 2, "0")
-    fraction = F.regexp_replace(F.substring(F.regexp_extract(raw, _TIME, 4), 1, 9), r"0+\z", "")
-    offset = F.regexp_extract(raw, _TIME, 5)
-    return F.when(
-        raw.rlike(_TIME),
-        F.concat(
-            F.regexp_extract(raw, _TIME, 1),
-            hour,
-            F.regexp_extract(raw, _TIME, 3),
-            F.when(fraction == "", F.lit("")).otherwise(F.concat(F.lit("."), fraction)),
-            F.when(offset.isin("", "Z", "+00:00", "-00:00"), F.lit("Z")).otherwise(offset),
-        ),
-    )
+    written = raw
+    for pattern, replacement in _TIME_STEPS:
+        written = F.regexp_replace(written, pattern, replacement)
+    return F.when(raw.rlike(_TIME), written)
+
+
+def time_of(time_text: Column) -> Column:
+    """Timestamp of a text made by ``event_time_text``; null for no time and for year one."""
+    return F.nullif(F.try_to_timestamp(time_text), F.to_timestamp(F.lit("0001-01-01T00:00:00Z")))
 
 
 def parse_event_time(text: Column) -> Column:
-    """Timestamp of a leniently written event time; null for no time and for year one."""
-    parsed = F.try_to_timestamp(event_time_text(text))
-    return F.when(parsed != F.to_timestamp(F.lit("0001-01-01T00:00:00Z")), parsed)
+    return time_of(event_time_text(text))
 
 
 def idempotency_key(producer: Column, namespace: Column, name: Column, run_id: Column, time_text: Column,

@@ -28,39 +28,44 @@ def trimmed(text: Column) -> Column:
 
 def normalize_namespace(namespace: Column) -> Column:
     """Lower-case and unify the scheme and drop the port; names without ``://`` stay as they are."""
-    split_at = F.locate("://", namespace)
-    scheme = F.lower(namespace.substr(F.lit(1), split_at - 1))
-    unified = scheme
+    scheme = F.lower(F.regexp_extract(namespace, r"(?s)\A(.*?)://", 1))
     for alias, target in SCHEME_ALIASES.items():
-        unified = F.when(scheme == alias, F.lit(target)).otherwise(unified)
-    rest = namespace.substr(split_at + 3, F.length(namespace))
-    return F.when(split_at == 0, namespace).otherwise(
-        F.concat(unified, F.lit("://"), F.regexp_replace(rest, _HOST_PORT, "$1$2"))
-    )
+        scheme = F.regexp_replace(scheme, rf"\A{alias}\z", target)
+    rest = F.regexp_replace(F.regexp_replace(namespace, r"(?s)\A.*?://", ""), _HOST_PORT, "$1$2")
+    return F.when(F.contains(namespace, F.lit("://")), F.concat(scheme, F.lit("://"), rest)).otherwise(namespace)
 
 
 def dataset_urn(namespace: Column, name: Column) -> Column:
     return F.concat(normalize_namespace(namespace), F.lit("/"), name)
 
 
+# Namespace and name: split at the first "/" after the protocol, or at the first "/" without one.
+_URN = r"(?s)\A(.*?://[^/]*|(?!.*://)[^/]*)/(.*)\z"
+
+
+def urn_namespace(urn: Column) -> Column:
+    return F.regexp_extract(urn, _URN, 1)
+
+
+def urn_name(urn: Column) -> Column:
+    return F.regexp_extract(urn, _URN, 2)
+
+
+def urn_error(urn: Column) -> Column:
+    return (
+        F.when(~urn.rlike(_URN), "missing_delimiter")
+        .when(urn.startswith("/"), "empty_namespace")
+        .when(urn_name(urn) == "", "empty_name")
+        .when(urn_name(urn) == "/", "empty_name_after_delimiter")
+    )
+
+
 def parse_urn(urn: Column) -> Column:
     """struct<namespace, name, error>; the parts are null when ``error`` is set."""
-    protocol_end = F.locate("://", urn)
-    # With a protocol the delimiter is the first "/" after it, else the first "/".
-    start = F.when(protocol_end > 0, protocol_end + 3).otherwise(F.lit(1))
-    in_rest = F.locate("/", urn.substr(start, F.length(urn)))
-    delimiter = start + in_rest - 1
-    namespace = urn.substr(F.lit(1), delimiter - 1)
-    name = urn.substr(delimiter + 1, F.length(urn))
-    error = (
-        F.when(in_rest == 0, "missing_delimiter")
-        .when(delimiter == 1, "empty_namespace")
-        .when(name == "", "empty_name")
-        .when(name == "/", "empty_name_after_delimiter")
-    )
+    error = urn_error(urn)
     return F.struct(
-        F.when(error.isNull(), namespace).alias("namespace"),
-        F.when(error.isNull(), name).alias("name"),
+        F.when(error.isNull(), urn_namespace(urn)).alias("namespace"),
+        F.when(error.isNull(), urn_name(urn)).alias("name"),
         error.alias("error"),
     )
 
@@ -68,7 +73,7 @@ def parse_urn(urn: Column) -> Column:
 def normalize_urn(urn: Column) -> Column:
     """struct<urn, error>: the trimmed URN, or why it is not one."""
     text = trimmed(urn)
-    error = parse_urn(text)["error"]
+    error = urn_error(text)
     return F.struct(F.when(error.isNull(), text).alias("urn"), error.alias("error"))
 
 
@@ -87,17 +92,3 @@ def display_name(urn: Column) -> Column:
     schema_table = F.regexp_extract(urn, r"/([^/]+\.[^/]+)\z", 1)
     segments = F.filter(F.split(urn, "/", -1), lambda part: part != "")
     return F.coalesce(F.nullif(schema_table, F.lit("")), F.try_element_at(segments, F.lit(-1)), urn)
-
-
-def canonical_parts(namespace: Column, name: Column) -> Column:
-    """struct<namespace, name> of a dataset as it is stored: trimmed and normalised.
-
-    A name that does not survive the round trip through its URN is kept as given.
-    """
-    given_ns, given_name = trimmed(F.coalesce(namespace, F.lit(""))), trimmed(F.coalesce(name, F.lit("")))
-    parsed = parse_urn(dataset_urn(given_ns, given_name))
-    usable = (given_ns != "") & (given_name != "") & parsed["error"].isNull()
-    return F.struct(
-        F.when(usable, parsed["namespace"]).otherwise(given_ns).alias("namespace"),
-        F.when(usable, parsed["name"]).otherwise(given_name).alias("name"),
-    )

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from causeway.functions import event_fields as ef
-from causeway.functions.urn import parse_urn, table_name
+from causeway.functions.urn import table_name, urn_name, urn_namespace
 from causeway.plans.incidents import Tables
 
 
@@ -79,42 +81,43 @@ def suggested_rules(found: DataFrame) -> DataFrame:
     that is a dot suffix of the other gives a rule anchored on the leading segments,
     or an exact mapping when the orphan's name has one segment only.
     """
-    parsed = (
-        found.filter(F.col("match_urn").isNotNull())
-        .withColumn("o", parse_urn(F.col("dataset_urn")))
-        .withColumn("c", parse_urn(F.col("match_urn")))
-        .filter(F.col("o.error").isNull() & F.col("c.error").isNull())
-    )
-    own, other = F.split("o.name", r"\.", -1), F.split("c.name", r"\.", -1)
-    shorter = F.when(F.size(own) > F.size(other), other).otherwise(own)
-    longer = F.when(F.size(own) > F.size(other), own).otherwise(other)
-    gap = F.size(longer) - F.size(shorter)
-    suffix = (gap > 0) & (F.slice(longer, gap + 1, F.size(shorter)) == shorter)
-
-    def anchored(namespace: Column, parts: Column) -> Column:
-        head = F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), ".")
-        return F.concat(namespace, F.lit("/"), head, F.lit(".{table}"))
-
-    same_namespace = F.col("o.namespace") == F.col("c.namespace")
+    named = found.filter(F.col("match_urn").isNotNull()).select(
+        "dataset_urn",
+        urn_namespace(F.col("dataset_urn")).alias("own_ns"),
+        urn_name(F.col("dataset_urn")).alias("own_name"),
+        urn_namespace(F.col("match_urn")).alias("other_ns"),
+        urn_name(F.col("match_urn")).alias("other_name"),
+    )
+    # No empty part and no lone slash: both URNs are well formed.
+    usable = [F.col(f"{side}_ns") != "" for side in ("own", "other")]
+    usable += [~F.col(f"{side}_name").isin("", "/") for side in ("own", "other")]
+    parsed = named.filter(reduce(lambda a, b: a & b, usable)).withColumns(
+        {"own": F.split("own_name", r"\.", -1), "other": F.split("other_name", r"\.", -1)}
+    )
+    gap = F.size("other") - F.size("own")
+    suffix = F.when(gap > 0, F.slice("other", F.greatest(gap, F.lit(0)) + 1, F.size("own")) == F.col("own")).when(
+        gap < 0, F.slice("own", F.greatest(-gap, F.lit(0)) + 1, F.size("other")) == F.col("other")
+    )
+    same_namespace = F.col("own_ns") == F.col("other_ns")
     category = (
-        F.when(~same_namespace & (F.col("o.name") == F.col("c.name")), "namespace")
-        .when(same_namespace & suffix & (F.size(own) < 2), "exact")
+        F.when(~same_namespace & (F.col("own_name") == F.col("other_name")), "namespace")
+        .when(same_namespace & suffix & (F.size("own") < 2), "exact")
         .when(same_namespace & suffix, "name")
     )
-    pattern = (
-        F.when(F.col("category") == "namespace", F.concat("o.namespace", F.lit("/{name}")))
-        .when(F.col("category") == "exact", F.concat("o.namespace", F.lit("/"), F.col("o.name")))
-        .otherwise(anchored(F.col("o.namespace"), own))
-    )
-    canonical = (
-        F.when(F.col("category") == "namespace", F.concat("c.namespace", F.lit("/{name}")))
-        .when(F.col("category") == "exact", F.concat("o.namespace", F.lit("/"), F.col("c.name")))
-        .otherwise(anchored(F.col("o.namespace"), other))
-    )
+
+    def rule(side: str) -> Column:
+        namespace = F.col(f"{side}_ns")
+        head = F.array_join(F.slice(side, F.lit(1), F.size(side) - 1), ".")
+        return (
+            F.when(F.col("category") == "namespace", F.concat(namespace, F.lit("/{name}")))
+            .when(F.col("category") == "exact", F.concat(namespace, F.lit("/"), F.col(f"{side}_name")))
+            .otherwise(F.concat(namespace, F.lit("/"), head, F.lit(".{table}")))
+        )
+
     return (
         parsed.withColumn("category", category)
         .filter(F.col("category").isNotNull())
-        .select("dataset_urn", "category", pattern.alias("pattern"), canonical.alias("canonical"))
+        .select("dataset_urn", "category", rule("own").alias("pattern"), rule("other").alias("canonical"))
     )
 
 

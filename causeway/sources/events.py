@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from causeway import schemas
 from causeway.functions import event_fields as ef
-from causeway.functions.urn import canonical_parts, dataset_urn, trimmed
+from causeway.functions.urn import dataset_urn, trimmed, urn_error, urn_name, urn_namespace
 
 DEFAULT_TOPIC = "openlineage.events"
 
@@ -88,18 +88,46 @@ def _text(column: Column) -> Column:
 
 
 def _datasets(items: Column) -> Column:
-    def one(item: Column) -> Column:
-        parts = canonical_parts(item["namespace"], item["name"])
+    """Datasets as they are stored: trimmed and split anew from their normalised URN.
+
+    A name that does not survive the round trip through its URN is kept as given. Each
+    step works on the fields of the one before, so no expression is repeated.
+    """
+    rest = ("facets", "input_facets", "output_facets")
+
+    def given(item: Column) -> Column:
         return F.struct(
-            parts["namespace"].alias("namespace"),
-            parts["name"].alias("name"),
-            dataset_urn(parts["namespace"], parts["name"]).alias("urn"),
+            _text(item["namespace"]).alias("namespace"),
+            _text(item["name"]).alias("name"),
             F.coalesce(item["facets"], _empty_facets()).alias("facets"),
             F.coalesce(item["inputFacets"], _empty_facets()).alias("input_facets"),
             F.coalesce(item["outputFacets"], _empty_facets()).alias("output_facets"),
         )
 
-    return F.coalesce(F.transform(items, one), F.array().cast(f"array<{schemas.STORED_DATASET}>"))
+    def with_urn(item: Column) -> Column:
+        whole = (item["namespace"] != "") & (item["name"] != "")
+        urn = F.when(whole, dataset_urn(item["namespace"], item["name"])).otherwise(F.lit(""))
+        return F.struct(item["namespace"].alias("namespace"), item["name"].alias("name"), urn.alias("urn"),
+                        *[item[f].alias(f) for f in rest])
+
+    def split_again(item: Column) -> Column:
+        usable = urn_error(item["urn"]).isNull()
+        return F.struct(
+            F.when(usable, urn_namespace(item["urn"])).otherwise(item["namespace"]).alias("namespace"),
+            F.when(usable, urn_name(item["urn"])).otherwise(item["name"]).alias("name"),
+            *[item[f].alias(f) for f in rest],
+        )
+
+    def final(item: Column) -> Column:
+        return F.struct(
+            item["namespace"].alias("namespace"), item["name"].alias("name"),
+            dataset_urn(item["namespace"], item["name"]).alias("urn"), *[item[f].alias(f) for f in rest],
+        )
+
+    stored = items
+    for step in (given, with_urn, split_again, final):
+        stored = F.transform(stored, step)
+    return F.coalesce(stored, F.array().cast(f"array<{schemas.STORED_DATASET}>"))
 
 
 def normalize_events(events: DataFrame) -> DataFrame:
@@ -109,7 +137,6 @@ def normalize_events(events: DataFrame) -> DataFrame:
         *envelope,
         _text(F.col("eventType")).alias("event_type"),
         ef.event_time_text(F.col("eventTime")).alias("event_time_text"),
-        ef.parse_event_time(F.col("eventTime")).alias("event_time"),
         _text(F.col("producer")).alias("producer"),
         _text(F.col("schemaURL")).alias("schema_url"),
         _text(F.col("run.runId")).alias("run_id"),
@@ -120,13 +147,11 @@ def normalize_events(events: DataFrame) -> DataFrame:
         _datasets(F.col("inputs")).alias("inputs"),
         _datasets(F.col("outputs")).alias("outputs"),
     )
-    return typed.withColumn(
-        "idempotency_key",
-        ef.idempotency_key(
-            F.col("producer"), F.col("job_namespace"), F.col("job_name"), F.col("run_id"),
-            F.coalesce("event_time_text", F.lit("0001-01-01T00:00:00Z")), F.col("event_type"),
-        ),
+    key = ef.idempotency_key(
+        F.col("producer"), F.col("job_namespace"), F.col("job_name"), F.col("run_id"),
+        F.coalesce("event_time_text", F.lit("0001-01-01T00:00:00Z")), F.col("event_type"),
     )
+    return typed.withColumns({"event_time": ef.time_of(F.col("event_time_text")), "idempotency_key": key})
 
 
 def read_messages(messages: DataFrame) -> DataFrame:

@@ -414,18 +414,18 @@ def correlation_rate(g: Given):
     return health.correlation_rate(health.health_stats(g.tables)).select("correlation_rate")
 
 
-@query("e5_incident_counts", f"""WITH attempts AS (SELECT *, row_number() OVER ({_GROUP} ORDER BY test_executed_at DESC, test_result_id DESC) AS row_num
+@query("e5_incident_counts", f"""SELECT * FROM (WITH attempts AS (SELECT *, row_number() OVER ({_GROUP} ORDER BY test_executed_at DESC, test_result_id DESC) AS row_num
   FROM one_state) SELECT count(*) FILTER (WHERE {_ACTIVE}) AS active,
   count(*) FILTER (WHERE resolution_status = 'resolved' AND {_recent(30)}) AS resolved,
-  count(*) FILTER (WHERE resolution_status = 'muted' AND {_recent(30)}) AS muted FROM attempts WHERE row_num = 1""")
+  count(*) FILTER (WHERE resolution_status = 'muted' AND {_recent(30)}) AS muted FROM attempts WHERE row_num = 1) q""")
 def incident_counts(g: Given):
     return incidents.count_incidents(g.tables, g.as_of)
 
 
-@query("l3_incident_counts", f"""WITH attempts AS (SELECT *, row_number() OVER ({_GROUP} ORDER BY test_executed_at DESC, test_result_id DESC) AS row_num
+@query("l3_incident_counts", f"""SELECT * FROM (WITH attempts AS (SELECT *, row_number() OVER ({_GROUP} ORDER BY test_executed_at DESC, test_result_id DESC) AS row_num
   FROM one_state) SELECT count(*) FILTER (WHERE {_ACTIVE}) AS active,
   count(*) FILTER (WHERE resolution_status = 'resolved' AND {_recent(7)}) AS resolved,
-  count(*) FILTER (WHERE resolution_status = 'muted' AND {_recent(7)}) AS muted FROM attempts WHERE row_num = 1""")
+  count(*) FILTER (WHERE resolution_status = 'muted' AND {_recent(7)}) AS muted FROM attempts WHERE row_num = 1) q""")
 def incident_counts_week(g: Given):
     return incidents.count_incidents(g.tables, g.as_of, window_days=7)
 

@@ -20,14 +20,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+# The landed messages and the tables ingested from them, written once per session and folder.
+_LANDED: dict[tuple[str, str], DataFrame] = {}
+_INGESTED: dict[tuple[str, str], Ingested] = {}
+
+
 class Given:
-    """The derived tables of one folder; each query makes its own, so nothing is shared by accident."""
+    """The derived tables of one folder, and where a query puts its intermediate tables."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = tune(spark), folder
 
+    @property
+    def _key(self) -> tuple[str, str]:
+        return self.spark.sparkContext.applicationId, self.folder
+
+    @property
+    def messages(self) -> DataFrame:
+        if self._key not in _LANDED:
+            _LANDED[self._key] = self.scratch.cut(given.derived(self.spark, self.folder, "messages"))
+        return _LANDED[self._key]
+
     def __getitem__(self, name: str) -> DataFrame:
-        return given.derived(self.spark, self.folder, name)
+        return self.messages if name == "messages" else given.derived(self.spark, self.folder, name)
 
     @cached_property
     def tables(self) -> Tables:
@@ -49,9 +64,14 @@ class Given:
     def events(self) -> DataFrame:
         return event_source.read_messages(self["messages"])
 
-    @cached_property
+    @property
     def ingested(self) -> Ingested:
         """The messages as stored tables, with no resolutions yet."""
+        if self._key not in _INGESTED:
+            _INGESTED[self._key] = self._ingest()
+        return _INGESTED[self._key]
+
+    def _ingest(self) -> Ingested:
         none = self.spark.createDataFrame(
             [],
             "test_result_id string, status string, resolved_by string, resolution_reason string, "

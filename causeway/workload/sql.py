@@ -177,14 +177,15 @@ CTES: dict[str, str] = {
   JOIN single s ON e.batch_id = s.batch_id""",
     "steps": """SELECT *, lag(event_type) OVER (PARTITION BY batch_id ORDER BY sort_time, arrival) AS before,
   row_number() OVER (PARTITION BY batch_id ORDER BY sort_time, arrival) AS n FROM ordered WHERE event_type <> 'OTHER'""",
-    "verdicts": f"""SELECT s.batch_id, s.run_id, s.event_count,
+    "verdicts": f"""SELECT s.batch_id, s.run_id, s.event_count, s.first_arrival,
   (SELECT arg_min(problem, n) FROM (SELECT n, {transition('before', 'event_type')} AS problem FROM steps t
      WHERE t.batch_id = s.batch_id) q WHERE problem IS NOT NULL) AS sequence_error,
   coalesce((SELECT arg_max(event_type, n) FROM steps t WHERE t.batch_id = s.batch_id), 'OTHER') AS final_state FROM single s""",
-    "checked": f"""SELECT e.* EXCLUDE (arrival), CASE WHEN v.batch_id IS NOT NULL THEN o.new_arrival ELSE e.arrival END AS arrival,
-  coalesce(CASE WHEN v.sequence_error IS NOT NULL THEN concat('invalid_sequence:', v.sequence_error) END, {REASON}) AS reject_reason
-  FROM ev e LEFT JOIN verdicts v ON e.batch_id = v.batch_id LEFT JOIN (SELECT arrival, first_arrival - 1 +
+    "placed": """SELECT e.* EXCLUDE (arrival), coalesce(o.new_arrival, e.arrival) AS arrival, v.sequence_error FROM ev e
+  LEFT JOIN (SELECT batch_id, sequence_error FROM verdicts) v ON e.batch_id = v.batch_id LEFT JOIN (SELECT arrival, first_arrival - 1 +
     row_number() OVER (PARTITION BY batch_id ORDER BY sort_time, arrival) AS new_arrival FROM ordered) o ON e.arrival = o.arrival""",
+    "checked": f"""SELECT *, coalesce(CASE WHEN sequence_error IS NOT NULL THEN concat('invalid_sequence:', sequence_error) END, {REASON})
+  AS reject_reason FROM placed""",
     "ranked": """SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY arrival) AS n FROM checked WHERE reject_reason IS NULL""",
     "walk": f"""SELECT run_id, n, arrival, event_type AS st, event_time AS tm, false AS refused FROM ranked WHERE n = 1
   UNION ALL SELECT r.run_id, r.n, r.arrival,
