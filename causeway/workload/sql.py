@@ -238,6 +238,13 @@ CTES: dict[str, str] = {
 }
 
 
+# The same steps for messages of a stream, where no sequences are checked.
+CTES["checked_k"] = f"SELECT *, {REASON} AS reject_reason FROM ev"
+_STREAM_STEPS = ("ranked", "walk", "copies", "taken", "stored", "dsets", "ment")
+for _step in _STREAM_STEPS:
+    CTES[f"{_step}_k"] = re.sub(rf"\b({'|'.join((*_STREAM_STEPS, 'checked'))})\b", r"\1_k", CTES[_step])
+
+
 def compose(body: str) -> str:
     """``body`` with every CTE it needs, in the order of CTES."""
     needed: set[str] = set()
