@@ -118,7 +118,7 @@ def test_event_array_file(spark, tmp_path):
     (tmp_path / "good.json").write_text(json.dumps([record, record], indent=1))
     batch = event_source.require_events(event_source.read_event_batch(spark, str(tmp_path / "good.json")))
     row = event_source.normalize_events(batch).collect()[0]
-    assert (row.event_type, row.run_facets["custom"], row.outputs, row.job_facets) == ("START", '{"deep":[1,2]}', [], {})
+    assert (row.event_type, json.loads(row.run_facets["custom"]), row.outputs, row.job_facets) == ("START", {"deep": [1, 2]}, [], {})
     assert (row.inputs[0].namespace, row.inputs[0].name, row.inputs[0].urn) == ("postgresql://db", "my/t", "postgresql://db/my/t")
     (tmp_path / "empty.json").write_text("[]")
     with pytest.raises(ValueError):
