@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from causeway.functions import event_fields as ef, urn as names
+from causeway.functions.aliases import AliasResolver
 from causeway.operators import validation
 from causeway.plans import quality
 from causeway.sources import alias_file, events as event_source, seeds
@@ -16,17 +19,9 @@ from causeway.workload import sql
 @query("a8_alias_rules", "SELECT run_id, dataset_urn, edge_type, " + sql.canonical("dataset_urn") + " AS canonical_urn FROM edges "
        "UNION ALL SELECT run_id, dataset_urn, 'test', " + sql.canonical("dataset_urn") + " FROM tests")
 def alias_rules(g: Given):
-    """Rules from a file, applied to every URN the tables mention."""
-    import json
-    import tempfile
-    from pathlib import Path
-
-    # The driver reads this small file itself, so it may live on the driver's disk.
-    with tempfile.TemporaryDirectory() as folder:
-        path = Path(folder) / "rules.yaml"
-        entries = [{"pattern": pattern, "canonical": canonical} for pattern, canonical in given.ALIAS_RULES]
-        path.write_text(json.dumps({"dataset_patterns": entries}))
-        resolver = alias_file.load_resolver(str(path))
+    """Rules as configuration text, applied to every URN the tables mention."""
+    entries = [{"pattern": pattern, "canonical": canonical} for pattern, canonical in given.ALIAS_RULES]
+    resolver = AliasResolver(alias_file.parse_alias_rules(json.dumps({"dataset_patterns": entries})))
     edges = g["edges"].select("run_id", "dataset_urn", "edge_type")
     tests = g["tests"].select("run_id", "dataset_urn", F.lit("test").alias("edge_type"))
     return edges.union(tests).withColumn("canonical_urn", resolver.resolve(F.col("dataset_urn")))
@@ -80,8 +75,6 @@ def table_names(g: Given):
 @query("b7_compiled_rules", r"""SELECT k, CASE WHEN regexp_matches(urn, '^postgresql://wh/s[^/]+\.[^/]+$') THEN 1
   WHEN regexp_matches(urn, '^demo_pg/.+$') THEN 2 ELSE 0 END AS rule_no FROM names""")
 def compiled_rules(g: Given):
-    from causeway.functions.aliases import AliasResolver
-
     resolver = AliasResolver([("", "x"), ("{a}/{a}", "y"), *given.ALIAS_RULES, ("demo_pg/{path*}", "postgresql://pg/{path}")])
     number = F.lit(0)
     for position, rule in reversed(list(enumerate(resolver.rules, 1))):
@@ -95,8 +88,6 @@ _TWO_RULES = r"""CASE WHEN regexp_matches(urn, '^postgresql://wh/s[^/]+\.[^/]+$'
 
 
 def _two_rules():
-    from causeway.functions.aliases import AliasResolver
-
     return AliasResolver([*given.ALIAS_RULES, ("demo_pg/{path*}", "postgresql://pg/{path}"), ("demo_pg/{x}", "never")])
 
 
