@@ -13,7 +13,7 @@ SAMPLE = ["b2_namespace", "c3_validate_tests", "d3_incident_view", "l3_incident_
 
 
 def test_every_query_has_sql():
-    assert set(registry.oracle_sql()) == set(registry.queries())
+    assert set(registry.ORACLES) == set(registry.QUERIES)
 
 
 @pytest.mark.skipif(not Path(FOLDER).exists(), reason="tables not present")
