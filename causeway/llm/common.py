@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from causeway.session import Scratch
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
+# Pivots per bucket in the second round of ``linked_components``.
+PIVOTS = 32
 
 
 class Work(Scratch):
@@ -108,9 +110,40 @@ def components(edges: DataFrame, work: Work) -> DataFrame:
 
 def _are_stars(edges: DataFrame) -> bool:
     """Whether every node on the larger end has one smaller neighbour, which itself is a root."""
-    split = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a")
-    chained = edges.select(F.col("b").alias("a")).join(edges.select("a"), "a", "left_semi")
-    return split.union(chained).isEmpty()
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        edges.select("b", F.lit(0), F.lit(1)))
+    seen = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return seen.where("up > 1 OR up = 1 AND down = 1").isEmpty()
+
+
+def compare_with_pivots(placed: DataFrame, count: int, verify: Callable[[DataFrame], DataFrame], links: DataFrame | None,
+                        work: Work) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One round: compare ``count`` pivots of each bucket with its members of other components.
+
+    ``placed`` has (bucket, id, c) with c the component so far. Returns all links, the components, and
+    the members of buckets that are not finished, without the pivots, which are done with.
+    """
+    order = Window.partitionBy("bucket").orderBy("id") if count == 1 else (
+        Window.partitionBy("bucket").orderBy(F.xxhash64("id", F.lit(count)), "id"))
+    pivots = work.cut(placed.withColumn("n", F.row_number().over(order)).where(F.col("n") <= count)
+                      .select("bucket", F.col("id").alias("p"), F.col("c").alias("pc")))
+    pairs = (placed.join(pivots, "bucket").where("c <> pc")
+             .select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct())
+    found = verify(pairs).select("a", "b")
+    grown = work.cut(found if links is None else links.union(found))
+    labels = work.cut(components(grown, work))
+    rest = placed.drop("c").join(pivots.select("bucket", F.col("p").alias("id")), ["bucket", "id"], "left_anti")
+    open_ = work.cut(unfinished(rest, labels))
+    work.release(pivots)
+    return grown, labels, open_
+
+
+def unfinished(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, id, c) of the buckets whose members are not all in one component."""
+    known = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select(
+        "bucket", "id", F.coalesce("component", "id").alias("c"))
+    open_ = known.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
+    return known.join(open_.select("bucket"), "bucket", "left_semi")
 
 
 def linked_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame], work: Work) -> DataFrame:
@@ -122,37 +155,30 @@ def linked_components(members: DataFrame, verify: Callable[[DataFrame], DataFram
     further comparison, and a bucket whose members are all in one component is finished. The
     number of pivots doubles from round to round, so the rounds are logarithmic, and every pair
     left out is one whose ends are connected: the components are those of the full set of links.
+    From the second round on there are at least ``PIVOTS`` pivots, which finishes the small buckets.
     """
     links: DataFrame | None = None
     labels: DataFrame | None = None
     count = 1
-    members = work.cut(members)
-    while not members.isEmpty():
-        placed = members.withColumn("c", F.col("id")) if labels is None else (
-            members.join(labels.withColumnRenamed("node", "id"), "id", "left")
-            .select("bucket", "id", F.coalesce("component", "id").alias("c")))
-        open_ = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
-        placed = work.cut(placed.join(open_.select("bucket"), "bucket", "left_semi"))
-        if placed.isEmpty():
-            break
-        order = Window.partitionBy("bucket").orderBy("id") if count == 1 else (
-            Window.partitionBy("bucket").orderBy(F.xxhash64("id", F.lit(count)), "id"))
-        pivots = (placed.withColumn("n", F.row_number().over(order)).where(F.col("n") <= count)
-                  .select("bucket", F.col("id").alias("p"), F.col("c").alias("pc")))
-        pivots = work.cut(pivots)
-        pairs = (placed.join(pivots, "bucket").where("c <> pc")
-                 .select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct())
-        found = verify(pairs).select("a", "b")
-        known = found if links is None else links.union(found)
-        grown = work.cut(known)
-        work.release(links)
-        links = grown
-        labels = work.cut(components(links, work))
-        rest = placed.join(pivots.select("bucket", F.col("p").alias("id")), ["bucket", "id"], "left_anti")
-        following = work.cut(rest.select("bucket", "id"))
-        work.release(members, placed, pivots)
-        members = following
-        count *= 2
+    placed = work.cut(members.withColumn("c", F.col("id")))
+    while not placed.isEmpty():
+        grown, found, following = compare_with_pivots(placed, count, verify, links, work)
+        work.release(links, labels, placed)
+        links, labels, placed = grown, found, following
+        count = max(PIVOTS, 2 * count)
     if labels is None:
         return work.spark.createDataFrame([], "node bigint, component bigint")
     return labels
+
+
+def smallest_connected(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Smallest connected place for each of n places, by hooking and jumping over the links (a, b)."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while not np.array_equal(label, label[label]):
+            label = label[label]
+        if np.array_equal(label[a], label[b]):
+            return label

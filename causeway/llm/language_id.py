@@ -43,11 +43,11 @@ def ngram_counts(text: str | None, dimensions: int = DIMENSIONS) -> np.ndarray |
     letter = _LETTER[np.minimum(points, len(_LETTER) - 1)]
     if not letter.any():
         return None
-    points = np.where(letter, points, np.uint32(32))
-    run = np.concatenate(([True], letter[1:] | letter[:-1], [True]))
-    line = np.concatenate((points, [np.uint32(32)]))[run]
-    if line[0] != 32:
-        line = np.concatenate(([np.uint32(32)], line))
+    # Letters, and after each run of them one space.
+    space = np.array([32], np.uint32)
+    line = np.concatenate((space, np.where(letter, points, space), space))
+    letter = np.concatenate(([False], letter, [False]))
+    line = line[letter | np.concatenate(([True], letter[:-1]))]
     shift = np.uint32(32 - (dimensions.bit_length() - 1))
     with np.errstate(over="ignore"):
         mixed = line * _NGRAM[0]

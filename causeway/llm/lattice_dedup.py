@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from causeway.llm.common import MIX, Work, components, mixed
+from causeway.llm.common import MIX, Work, components, mixed, smallest_connected
 
 TABLES = 6
 LATTICES = 2
@@ -134,19 +134,6 @@ def _features(settings: tuple):
     return run
 
 
-def _roots_of(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Smallest connected place for each of n places, by hooking and jumping over the links (a, b)."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        np.minimum.at(label, label[a], low)
-        np.minimum.at(label, label[b], low)
-        while not np.array_equal(label, label[label]):
-            label = label[label]
-        if np.array_equal(label[a], label[b]):
-            return label
-
-
 def _meet(threshold: float, tables: int, width: int):
     """Members of cells, sorted by (cell, bh, bl), to (cid, n, root): links of a member, and whom it hangs together with."""
 
@@ -194,7 +181,7 @@ def _meet(threshold: float, tables: int, width: int):
         n = np.zeros(len(members), np.int64)
         np.add.at(n, place[y], copies[x])
         np.add.at(n, place[x], copies[y])
-        root = members[_roots_of(place[x], place[y], len(members))]
+        root = members[smallest_connected(place[x], place[y], len(members))]
         used = n > 0
         return pa.record_batch([pa.array(members[used]), pa.array(n[used]), pa.array(root[used])], names=["cid", "n", "root"])
 

@@ -18,12 +18,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from causeway.llm.common import MIX, Work, linked_components, mixed, shingle_set, unit
+from causeway.llm.common import (
+    MIX, Work, compare_with_pivots, components, mixed, shingle_set, smallest_connected, unit,
+)
 
 BANDS = 24
 BAND_ROWS = 4
 # Elements handled at once; a document with more is handled alone.
 CHUNK = 1 << 18
+# Members of a bucket that are compared with one another in one table.
+BLOCK = 512
 
 
 def signatures(elements: np.ndarray, owner: np.ndarray, documents: int, size: int) -> np.ndarray:
@@ -126,13 +130,86 @@ def _similar(width: int, percent: int):
     return run
 
 
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, as a matrix product over the shingles that more than one set has."""
+    elements, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    shared = times > 1
+    place = np.cumsum(shared) - 1
+    used = shared[column]
+    row, column = row[used], place[column[used]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    width, total = max(1, (1 << 22) // len(sets)), np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(shared.sum()), width):
+        begin, end = np.searchsorted(column, [low, low + width])
+        part = np.zeros((len(sets), min(width, int(shared.sum()) - low)), np.float32)
+        part[row[begin:end], column[begin:end] - low] = 1
+        total += part @ part.T
+    np.fill_diagonal(total, [len(s) for s in sets])
+    return total
+
+
+def _compare(width: int, percent: int):
+    """Members of buckets, sorted by (bucket, low, high), to edges (a, b) that connect what is linked."""
+
+    def settle(ids, components_, texts):
+        if len(set(components_)) < 2:
+            return []
+        sets = [shingle_set(t, width) for t in texts]
+        common, size = common_counts(sets).astype(np.float64), np.array([len(s) for s in sets], np.float64)
+        linked = 100 * common >= percent * (size[:, None] + size[None, :] - common)
+        a, b = np.nonzero(np.triu(linked, 1))
+        names = np.array(ids)
+        root = smallest_connected(a, b, len(ids))
+        return [(int(names[i]), int(names[r])) for i, r in enumerate(root) if i != r]
+
+    def run(batches):
+        last, held = None, []
+        for batch in batches:
+            found = []
+            for i in range(batch.num_rows):
+                group = tuple(batch.column(c)[i].as_py() for c in range(3))
+                if group != last and held:
+                    found += settle(*zip(*held))
+                    held = []
+                last = group
+                held.append(tuple(batch.column(c)[i].as_py() for c in range(3, 6)))
+            yield pa.record_batch([pa.array([e[0] for e in found], pa.int64()), pa.array([e[1] for e in found], pa.int64())],
+                                  names=["a", "b"])
+        if held:
+            found = settle(*zip(*held))
+            yield pa.record_batch([pa.array([e[0] for e in found], pa.int64()), pa.array([e[1] for e in found], pa.int64())],
+                                  names=["a", "b"])
+
+    return run
+
+
+def _in_blocks(open_: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Edges (a, b) that connect all linked members of each bucket.
+
+    A bucket is cut into blocks of about ``BLOCK`` members; each two blocks, and each block alone,
+    meet in one table of bounded size, where all sets are compared by a matrix product. Only
+    a spanning forest of the links leaves a table, no list of pairs.
+    """
+    sizes = open_.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = open_.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    met = dealt.withColumn("other", every).select(
+        "bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "id", "c")
+    parts = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tables = met.join(texts, "id").select("bucket", "low", "high", "id", "c", "text")
+    tables = tables.repartition(parts, "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+    return tables.mapInArrow(_compare(width, percent), "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Documents are linked when 100 * |common shingles| >= percent * |all shingles|; a component
     is named by its smallest doc_id, which alone is kept. Documents with equal sets are one
-    class first; classes that share a band are compared, by their full sets, as
-    ``linked_components`` describes. A pair at similarity 0.8 shares none of the 24 bands of 4
+    class first; classes that share a band are compared by their full sets, unless they are
+    known to be connected. A pair at similarity 0.8 shares none of the 24 bands of 4
     with a probability of 3 in a million.
     """
     work = Work(docs.sparkSession)
@@ -155,7 +232,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         both = right.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
         return both.select("a", "b", "ta", "tb").mapInArrow(_similar(width, percent), "a bigint, b bigint")
 
-    labels = linked_components(members, verify, work)
+    # First each bucket's smallest member with the others, which settles most buckets; then the rest in blocks.
+    labels = work.spark.createDataFrame([], "node bigint, component bigint")
+    if not members.isEmpty():
+        links, labels, open_ = compare_with_pivots(members.withColumn("c", F.col("id")), 1, verify, None, work)
+        if not open_.isEmpty():
+            labels = work.cut(components(links.union(_in_blocks(open_, texts, width, percent)), work))
     named = (classes.join(labels.withColumnRenamed("node", "id"), "id", "left")
              .select("n_shingles", "f1", "f2", F.coalesce("component", "id").alias("component_id")))
     rest = sketches.where("doc_id IS NULL OR n_shingles = 0").select(
