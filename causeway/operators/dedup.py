@@ -25,9 +25,7 @@ def accepted_copies(events: DataFrame, scratch: Scratch, ttl_hours: int = TTL_HO
     first = F.min(F.struct("ingested_at", "arrival")).alias("kept")
     rounds: list[DataFrame] = []
     while True:
-        kept = rest.groupBy("idempotency_key").agg(first)
-        if rounds:
-            kept = scratch.cut(kept)
+        kept = scratch.cut(rest.groupBy("idempotency_key").agg(first))
         rounds.append(kept)
         later = rest.join(kept, "idempotency_key").filter(
             F.col("ingested_at") >= _later(F.col("kept.ingested_at"), ttl_hours)
@@ -56,11 +54,16 @@ def live_keys(keys: DataFrame, as_of: Column) -> DataFrame:
     return keys.filter(F.col("expires_at") >= as_of)
 
 
-def known_keys(events: DataFrame, keys: DataFrame) -> DataFrame:
-    """Events of a new batch that repeat a live stored key (``expires_at`` after their ingest time)."""
-    stored = keys.groupBy("idempotency_key").agg(F.max("expires_at").alias("expires_at"))
-    return (
-        events.join(stored, "idempotency_key")
-        .filter(F.col("expires_at") > F.col("ingested_at"))
-        .drop("expires_at")
-    )
+def known_keys(events: DataFrame, keys: DataFrame, itself: bool = True) -> DataFrame:
+    """Events of a new batch that repeat a live stored key.
+
+    A key lives from the ingest time of its message until ``expires_at``. Without ``itself`` a message
+    does not count as a repetition of its own key, so a batch that is done again comes out the same.
+    """
+    last = F.max_by(F.struct("arrival", "ingested_at", "expires_at"), F.struct("expires_at", "arrival"))
+    stored = keys.groupBy("idempotency_key").agg(last.alias("__key"))
+    known = events.join(stored, "idempotency_key").filter(F.col("__key.expires_at") > F.col("ingested_at"))
+    if not itself:
+        known = known.filter(
+            (F.col("__key.arrival") != F.col("arrival")) & (F.col("__key.ingested_at") <= F.col("ingested_at")))
+    return known.drop("__key")

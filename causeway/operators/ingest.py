@@ -29,7 +29,7 @@ def ingest(events: DataFrame, scratch: Scratch, resolutions: DataFrame, aliases:
     its identity key, so refusal comes before the search for duplicates. Copies of an
     accepted event never change which events are refused.
     """
-    checked = validation.validate_batches(events) if check_sequences else validation.validate_events(events)
+    checked = validation.validate_batches(events, scratch) if check_sequences else validation.validate_events(events)
     checked = scratch.cut(checked)
     valid = checked.filter(F.col("reject_reason").isNull()).drop("reject_reason")
     refused = scratch.cut(runs.refused_events(valid).select("arrival"))

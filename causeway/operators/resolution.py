@@ -103,7 +103,12 @@ def request_outcomes(incidents: DataFrame, resolutions: DataFrame, requests: Dat
 
 
 def apply_requests(incidents: DataFrame, resolutions: DataFrame, requests: DataFrame, cascade: bool = True) -> DataFrame:
-    """The resolution table after all requests, in the order of ``seq``.
+    """The resolution table after all requests, in the order of ``seq``; see ``requested_rows``."""
+    return replace_rows(resolutions, requested_rows(incidents, resolutions, requests, cascade))
+
+
+def requested_rows(incidents: DataFrame, resolutions: DataFrame, requests: DataFrame, cascade: bool = True) -> DataFrame:
+    """The resolution rows that the requests, in the order of ``seq``, change.
 
     With ``cascade`` an accepted request also moves the open retries of the same group.
     """
@@ -123,7 +128,7 @@ def apply_requests(incidents: DataFrame, resolutions: DataFrame, requests: DataF
         F.col("note").isNotNull() & (F.col("old_status") == "open"), F.col("note")
     )
     changed = hit.withColumn("c", taken).filter(F.col("c").isNotNull())
-    rows = changed.select(
+    return changed.select(
         "test_result_id",
         F.col("c.status").alias("status"),
         F.col("c.resolved_by").alias("resolved_by"),
@@ -135,7 +140,6 @@ def apply_requests(incidents: DataFrame, resolutions: DataFrame, requests: DataF
         ).alias("mute_expires_at"),
         F.col("c.requested_at").alias("updated_at"),
     )
-    return replace_rows(resolutions, rows)
 
 
 def _alone(incidents: DataFrame, cascade: bool) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from causeway.functions import event_fields as ef
 from causeway.functions.urn import trimmed
-from causeway.operators.ordered import time_block, with_previous, with_rank
+from causeway.operators.ordered import RANGE, arrival_block, range_blocks, with_previous, with_rank
+from causeway.session import Scratch
 
 MAX_TEST_NAME_BYTES = 750
 
@@ -106,45 +107,54 @@ def _sortable_time() -> Column:
     return F.coalesce("event_time", F.lit("0001-01-01").cast("timestamp"))
 
 
-def sequence_errors(events: DataFrame) -> DataFrame:
-    """One row per single-run batch: its final state and the first illegal transition, if any."""
-    single = single_run_batches(events)
-    slim = events.select("batch_id", "arrival", "event_type", _sortable_time().alias("at"))
-    steps = slim.join(single.select("batch_id"), "batch_id", "left_semi").filter(F.col("event_type") != "OTHER")
+def _in_time_order(events: DataFrame, scratch: Scratch) -> DataFrame:
+    """The events of single-run batches in ranges of (batch, time, arrival)."""
+    timed = events.join(single_run_batches(events).select("batch_id"), "batch_id", "left_semi").select(
+        "batch_id", "arrival", "event_type", _sortable_time().alias("at"))
+    return range_blocks(timed, ["batch_id"], ["at", "arrival"], scratch)
+
+
+def _sequence_errors(events: DataFrame, timed: DataFrame) -> DataFrame:
+    steps = timed.filter(F.col("event_type") != "OTHER")
     order = ["at", "arrival"]
-    compared = with_previous(steps, ["batch_id"], order, time_block(F.col("at")), F.col("event_type"), "before")
+    compared = with_previous(steps, ["batch_id"], order, F.col(RANGE), F.col("event_type"), "before")
     checked = compared.withColumn("problem", transition_error(F.col("before"), F.col("event_type")))
     verdict = checked.groupBy("batch_id").agg(
         F.min_by("problem", F.when(F.col("problem").isNotNull(), F.struct(*order))).alias("sequence_error"),
         F.max_by("event_type", F.struct(*order)).alias("last_state"),
     )
-    return single.join(verdict, "batch_id", "left").select(
+    return single_run_batches(events).join(verdict, "batch_id", "left").select(
         "batch_id", "run_id", "event_count", "first_arrival", "sequence_error",
         F.coalesce("last_state", F.lit("OTHER")).alias("final_state"),
     )
 
 
-def validate_batches(events: DataFrame) -> DataFrame:
+def sequence_errors(events: DataFrame, scratch: Scratch) -> DataFrame:
+    """One row per single-run batch: its final state and the first illegal transition, if any."""
+    return _sequence_errors(events, _in_time_order(events, scratch))
+
+
+def validate_batches(events: DataFrame, scratch: Scratch) -> DataFrame:
     """Event rules plus sequence rules: a bad sequence rejects its whole batch, a bad event only itself.
 
-    The events of an accepted single-run batch are re-numbered in event-time order,
-    because that is the order in which they are stored; the messages of one batch
-    arrive together, so their numbers are consecutive.
+    The events of an accepted single-run batch are stored in the order of their times, so they
+    trade places: the n-th in time gets the n-th smallest arrival of its own batch as its
+    ``arrival``. Arrivals stay unique however the messages of batches interleave.
+    ``message`` keeps the arrival of the message itself.
     """
-    sequences = sequence_errors(events).select("batch_id", "first_arrival", "sequence_error")
-    marked = events.join(sequences, "batch_id", "left")
-    in_sequence = marked.filter(F.col("first_arrival").isNotNull())
-    alone = marked.filter(F.col("first_arrival").isNull())
-    ranked = with_rank(
-        in_sequence.withColumn("__at", _sortable_time()),
-        ["batch_id"], ["__at", "arrival"], time_block(_sortable_time()), "__rank",
-    )
-    renumbered = ranked.withColumn("arrival", F.col("first_arrival") + F.col("__rank") - 1).drop("__rank", "__at")
+    timed = _in_time_order(events, scratch)
+    sequences = _sequence_errors(events, timed).select("batch_id", "sequence_error")
+    by_time = with_rank(timed, ["batch_id"], ["at", "arrival"], F.col(RANGE), "__rank").select(
+        "batch_id", "__rank", F.col("arrival").alias("__message"))
+    by_arrival = with_rank(timed.select("batch_id", "arrival"), ["batch_id"], ["arrival"], arrival_block(F.col("arrival")), "__rank")
+    places = by_time.join(by_arrival, ["batch_id", "__rank"]).select("__message", F.col("arrival").alias("__place"))
+    marked = events.join(sequences, "batch_id", "left").join(places, F.col("arrival") == F.col("__message"), "left")
     reason = F.coalesce(
         F.when(F.col("sequence_error").isNotNull(), F.concat(F.lit("invalid_sequence:"), F.col("sequence_error"))),
         event_reject_reason(),
     )
-    return renumbered.unionByName(alone).withColumn("reject_reason", reason).drop("first_arrival", "sequence_error")
+    placed = marked.withColumn("reject_reason", reason).withColumn("message", F.col("arrival"))
+    return placed.withColumn("arrival", F.coalesce("__place", "arrival")).drop("sequence_error", "__message", "__place")
 
 
 def split_events(checked: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -46,14 +46,14 @@ def list_totals(enriched: DataFrame, orphan_urns: DataFrame) -> DataFrame:
     return enriched.agg(F.count(F.lit(1)).alias("total")).select("total", orphan_count.alias("orphan_count"))
 
 
-def incident_heads(tables: Tables) -> DataFrame:
+def incident_heads(tables: Tables, scratch: Scratch) -> DataFrame:
     """The head of every incident's detail: test, dataset, producing run, parents and state."""
     made = incidents.with_parents(tables, incidents.latest_producers(incidents.producers(tables)))
     tests = incidents.with_test_root(tables, incidents.failing_tests(tables))
     heads = incidents.with_resolution(tables, tests.join(made, "dataset_urn"))
     orphan_urns = health.unproduced(tables).select("dataset_urn", F.lit(True).alias("is_orphan"))
     status, parent = F.col("job_status"), F.col("parent_job_status")
-    attempts = incidents.retry_attempts(tables).select("test_result_id", "total_attempts")
+    attempts = incidents.retry_attempts(tables, scratch).select("test_result_id", "total_attempts")
     with_status = heads.join(orphan_urns, "dataset_urn", "left").join(attempts, "test_result_id", "left")
     in_group = F.col("test_root_parent_run_id").isNotNull()
     return with_status.select(
@@ -78,20 +78,26 @@ class Details:
     upstream: DataFrame
     downstream: DataFrame
     chains: DataFrame
+    attempts: DataFrame
 
 
 def details(tables: Tables, scratch: Scratch, wanted: DataFrame | None = None) -> Details:
     """Heads plus trees and chains, the latter keyed by the producing run of the incident."""
-    heads = incident_heads(tables)
+    heads = incident_heads(tables, scratch)
     if wanted is not None:
         heads = heads.join(wanted.select("test_result_id").distinct(), "test_result_id", "left_semi")
     heads = scratch.cut(heads)
     starts = heads.select("dataset_urn", F.col("job_run_id").alias("run_id")).distinct()
+    attempts = incidents.attempt_rows(tables, scratch)
+    shown = scratch.cut(attempts.join(heads.select("test_result_id"), "test_result_id", "left_semi")
+                        .select("test_name", "dataset_urn", "retry_key").distinct())
     return Details(
         heads=heads,
         upstream=graph.upstream_trees(tables, scratch, starts),
         downstream=graph.downstream_trees(tables, scratch, starts),
         chains=graph.orchestration_chains(tables, scratch, starts),
+        # All attempts of the retry groups of these incidents; the siblings are the other rows of a group.
+        attempts=attempts.join(shown, ["test_name", "dataset_urn", "retry_key"], "left_semi"),
     )
 
 

@@ -15,8 +15,6 @@ from causeway.plans.incidents import Tables
 from causeway.session import Scratch
 
 MAX_DEPTH = 10
-# A run with more input-output pairs than this is walked through, not multiplied out.
-WIDE_RUN_PAIRS = 1024
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
@@ -28,48 +26,32 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 @dataclass(frozen=True)
 class Steps:
-    """Dataset-to-dataset steps: the pairs of narrow runs, and both sides of wide ones."""
+    """The two edge lists of all runs: a step goes from a dataset to a run that reads it to what the run writes.
 
-    pairs: DataFrame
-    wide_inputs: DataFrame | None
-    wide_outputs: DataFrame | None
+    Runs are walked through, never multiplied out: a run with n inputs and m outputs
+    costs n + m rows for each origin that reaches it.
+    """
+
+    inputs: DataFrame
+    outputs: DataFrame
 
     def follow(self, frontier: DataFrame, carried: list[str]) -> DataFrame:
-        """(carried, node, next) for every step from the frontier's ``node``."""
-        direct = frontier.join(self.pairs.withColumnRenamed("from_urn", "node"), "node").select(
-            *carried, "node", F.col("to_urn").alias("next")
-        )
-        if self.wide_inputs is None:
-            return direct
-        reached = frontier.join(self.wide_inputs.withColumnRenamed("dataset_urn", "node"), "node").select(
-            *carried, "node", "run_id"
-        ).distinct()
-        through = reached.join(self.wide_outputs.withColumnRenamed("dataset_urn", "next"), "run_id").select(
-            *carried, "node", "next"
-        )
-        return direct.unionByName(through)
+        """Distinct (carried, next): what the runs that read a frontier ``node`` write."""
+        reading = frontier.join(self.inputs.withColumnRenamed("dataset_urn", "node"), "node").select(*carried, "run_id")
+        writing = reading.distinct().join(self.outputs.withColumnRenamed("dataset_urn", "next"), "run_id")
+        return writing.select(*carried, "next").distinct()
 
+    def reversed(self) -> Steps:
+        """The steps upstream."""
+        return Steps(self.outputs, self.inputs)
 
-def dataset_steps(edges: DataFrame, scratch: Scratch, wide_run_pairs: int = WIDE_RUN_PAIRS) -> Steps:
-    """Which datasets are made from which, over all runs.
 
-    Only runs below the limit are multiplied out; wider ones keep their two edge lists.
-    """
-    counts = edges.groupBy("run_id").agg(
-        F.count_if(F.col("edge_type") == "input").alias("n_in"),
-        F.count_if(F.col("edge_type") == "output").alias("n_out"),
+def run_steps(edges: DataFrame) -> Steps:
+    """Which datasets are made from which, over all runs."""
+    return Steps(
+        edges.filter("edge_type = 'input'").select("run_id", "dataset_urn"),
+        edges.filter("edge_type = 'output'").select("run_id", "dataset_urn"),
     )
-    wide = scratch.cut(counts.filter(F.col("n_in") * F.col("n_out") > wide_run_pairs).select("run_id"))
-    narrow_edges, wide_inputs, wide_outputs = edges, None, None
-    if not wide.isEmpty():
-        narrow_edges = edges.join(wide, "run_id", "left_anti")
-        wide_edges = edges.join(wide, "run_id", "left_semi")
-        wide_inputs = scratch.cut(wide_edges.filter("edge_type = 'input'").select("run_id", "dataset_urn"))
-        wide_outputs = scratch.cut(wide_edges.filter("edge_type = 'output'").select("run_id", "dataset_urn"))
-    inputs = narrow_edges.filter("edge_type = 'input'").select("run_id", F.col("dataset_urn").alias("from_urn"))
-    outputs = narrow_edges.filter("edge_type = 'output'").select("run_id", F.col("dataset_urn").alias("to_urn"))
-    pairs = inputs.join(outputs, "run_id").select("from_urn", "to_urn").distinct()
-    return Steps(scratch.cut(pairs), wide_inputs, wide_outputs)
 
 
 def known_edges(tables: Tables) -> DataFrame:
@@ -90,7 +72,7 @@ def reachable(steps: Steps, starts: DataFrame, scratch: Scratch, max_depth: int
     frontier = scratch.cut(starts.select(F.col("dataset_urn").alias("origin"), F.col("dataset_urn").alias("node")).distinct())
     levels = [frontier.withColumn("depth", F.lit(0))]
     for depth in range(1, max_depth + 1):
-        found = steps.follow(frontier, ["origin"]).select("origin", F.col("next").alias("node")).distinct()
+        found = steps.follow(frontier, ["origin"]).withColumnRenamed("next", "node")
         seen = union_all(levels).select("origin", "node")
         frontier = scratch.cut(found.join(seen, ["origin", "node"], "left_anti"))
         if frontier.isEmpty():
@@ -109,7 +91,7 @@ def impact(tables: Tables, scratch: Scratch, runs: DataFrame | None = None, max_
     outputs = edges.filter("edge_type = 'output'").select("run_id", F.col("dataset_urn").alias("origin"))
     if runs is not None:
         outputs = outputs.join(runs.select("run_id").distinct(), "run_id", "left_semi")
-    closure = reachable(dataset_steps(edges, scratch), outputs.select(F.col("origin").alias("dataset_urn")), scratch, max_depth)
+    closure = reachable(run_steps(edges), outputs.select(F.col("origin").alias("dataset_urn")), scratch, max_depth)
     per_run = (
         outputs.join(closure, "origin")
         .groupBy("run_id", F.col("node").alias("dataset_urn"))
@@ -131,27 +113,39 @@ def downstream_counts(impact_view: DataFrame) -> DataFrame:
     return below.groupBy("run_id").agg(F.count(F.lit(1)).alias("downstream_count"))
 
 
-def _run_steps(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    inputs = edges.filter("edge_type = 'input'").select(F.col("dataset_urn").alias("in_urn"), "run_id")
-    outputs = edges.filter("edge_type = 'output'").select("run_id", F.col("dataset_urn").alias("out_urn"))
-    return inputs, outputs
-
-
-def _walk(moves: DataFrame, first: DataFrame, scratch: Scratch, first_depth: int, max_depth: int) -> list[DataFrame]:
+def _walk(steps: Steps, first: DataFrame, scratch: Scratch, first_depth: int, max_depth: int) -> list[DataFrame]:
     """Levels of (run_id, node, depth): the datasets on each level of each run's tree.
 
-    No visited check, as a tree shows a dataset again on every level where it occurs;
-    only a step from a dataset to itself is left out.
+    No visited check, as a tree shows a dataset again on every level where it occurs; only a
+    step from a dataset to itself is left out. Levels are made of the distinct (tree, run)
+    that they pass through: a dataset that a run both reads and writes counts as reached
+    by that run only if it also comes from another input.
     """
-    frontier = scratch.cut(first.select("run_id", "node").distinct())
+    frontier = scratch.cut(first.select(F.col("run_id").alias("tree"), "node").distinct())
     levels = [frontier.withColumn("depth", F.lit(first_depth))]
     for depth in range(first_depth + 1, max_depth + 1):
-        step = frontier.join(moves, "node").select("run_id", F.col("next").alias("node")).distinct()
-        frontier = scratch.cut(step)
+        reading = frontier.join(steps.inputs.withColumnRenamed("dataset_urn", "node"), "node")
+        passed = reading.groupBy("tree", "run_id").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+        # With two different inputs reached, every output differs from one of them.
+        step = passed.join(steps.outputs.withColumnRenamed("dataset_urn", "next"), "run_id").filter(
+            (F.col("low") != F.col("next")) | (F.col("high") != F.col("next")))
+        frontier = scratch.cut(step.select("tree", F.col("next").alias("node")).distinct())
         if frontier.isEmpty():
             break
         levels.append(frontier.withColumn("depth", F.lit(depth)))
-    return levels
+    return [level.withColumnRenamed("tree", "run_id") for level in levels]
+
+
+def _tree_rows(levels: list[DataFrame], steps: Steps) -> DataFrame:
+    """(run_id, node, depth, next, by): each dataset of a level with what is one step on, by which run.
+
+    These pairs are the rows of the trees; only datasets that a tree reaches are paired.
+    """
+    reached = union_all(levels).withColumnRenamed("run_id", "tree")
+    reading = reached.join(steps.inputs.withColumnRenamed("dataset_urn", "node"), "node")
+    pairs = reading.join(steps.outputs.withColumnRenamed("dataset_urn", "next"), "run_id")
+    return pairs.filter(F.col("node") != F.col("next")).select(
+        F.col("tree").alias("run_id"), "node", "depth", "next", F.col("run_id").alias("by"))
 
 
 def downstream_trees(tables: Tables, scratch: Scratch, runs: DataFrame | None = None,
@@ -160,29 +154,13 @@ def downstream_trees(tables: Tables, scratch: Scratch, runs: DataFrame | None =
 
     The producer is the run that wrote the child from this parent.
     """
-    edges = scratch.cut(_stored_edges(tables))
-    inputs, outputs = _run_steps(edges)
-    starts = outputs if runs is None else outputs.join(runs.select("run_id").distinct(), "run_id", "left_semi")
-    makers = tables.runs.select("run_id", F.coalesce("producer_name", F.lit("")).alias("producer"))
-    made = (
-        inputs.join(outputs, "run_id")
-        .filter(F.col("in_urn") != F.col("out_urn"))
-        .join(makers, "run_id", "left")
-        .select(
-            F.col("in_urn").alias("node"), F.col("out_urn").alias("next"),
-            F.coalesce("producer", F.lit("")).alias("producer"),
-        )
-        .distinct()
-    )
-    moves = scratch.cut(made)
-    levels = _walk(moves.select("node", "next").distinct(), starts.select("run_id", F.col("out_urn").alias("node")),
-                   scratch, 0, max_depth - 1)
-    rows = union_all(levels).join(moves, "node").select(
-        "run_id",
-        F.col("next").alias("dataset_urn"),
-        (F.col("depth") + 1).alias("depth"),
-        F.col("node").alias("parent_urn"),
-        "producer",
+    steps = run_steps(scratch.cut(_stored_edges(tables)))
+    starts = steps.outputs if runs is None else steps.outputs.join(runs.select("run_id").distinct(), "run_id", "left_semi")
+    levels = _walk(steps, starts.select("run_id", F.col("dataset_urn").alias("node")), scratch, 0, max_depth - 1)
+    makers = tables.runs.select(F.col("run_id").alias("by"), F.coalesce("producer_name", F.lit("")).alias("producer"))
+    rows = _tree_rows(levels, steps).join(makers, "by", "left").select(
+        "run_id", F.col("next").alias("dataset_urn"), (F.col("depth") + 1).alias("depth"), F.col("node").alias("parent_urn"),
+        F.coalesce("producer", F.lit("")).alias("producer"),
     )
     names = tables.datasets.select("dataset_urn", F.col("name").alias("dataset_name"))
     return rows.distinct().join(names, "dataset_urn").select(
@@ -204,19 +182,13 @@ def upstream_trees(tables: Tables, scratch: Scratch, starts: DataFrame, max_dept
     come the inputs of every run that produces the dataset. A row repeats for each
     distinct producer of its dataset.
     """
-    edges = scratch.cut(_stored_edges(tables))
-    inputs, outputs = _run_steps(edges)
+    steps = run_steps(scratch.cut(_stored_edges(tables)))
     wanted = starts.select(F.col("dataset_urn").alias("start_urn"), "run_id").distinct()
-    first = inputs.join(wanted.select("run_id").distinct(), "run_id", "left_semi")
-    moves = scratch.cut(
-        outputs.join(inputs, "run_id")
-        .filter(F.col("in_urn") != F.col("out_urn"))
-        .select(F.col("out_urn").alias("node"), F.col("in_urn").alias("next"))
-        .distinct()
-    )
+    first = steps.inputs.join(wanted.select("run_id").distinct(), "run_id", "left_semi").withColumnRenamed("dataset_urn", "in_urn")
     # The tree above a run does not depend on the start dataset, so it is walked once per run.
-    levels = _walk(moves, first.select("run_id", F.col("in_urn").alias("node")), scratch, 1, max_depth - 1)
-    above = union_all(levels).join(moves, "node").select(
+    upwards = steps.reversed()
+    levels = _walk(upwards, first.select("run_id", F.col("in_urn").alias("node")), scratch, 1, max_depth - 1)
+    above = _tree_rows(levels, upwards).select(
         "run_id", F.col("next").alias("dataset_urn"), (F.col("depth") + 1).alias("depth"), F.col("node").alias("child_urn")
     )
     roots = first.join(wanted, "run_id").select(
@@ -226,8 +198,8 @@ def upstream_trees(tables: Tables, scratch: Scratch, starts: DataFrame, max_dept
     rows = roots.unionByName(above.distinct().join(wanted, "run_id"))
     makers = tables.runs.select("run_id", "producer_name")
     produced = (
-        outputs.join(makers, "run_id", "left")
-        .select(F.col("out_urn").alias("dataset_urn"), F.coalesce("producer_name", F.lit("")).alias("producer"))
+        steps.outputs.join(makers, "run_id", "left")
+        .select("dataset_urn", F.coalesce("producer_name", F.lit("")).alias("producer"))
         .distinct()
     )
     names = tables.datasets.select("dataset_urn", F.col("name").alias("dataset_name"))

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from causeway.functions import event_fields as ef
 from causeway.functions.aliases import AliasResolver
-from causeway.operators.ordered import time_block, with_rank
+from causeway.operators.ordered import RANGE, range_blocks, with_rank
 from causeway.operators.resolution import retry_key
+from causeway.session import Scratch
 
 
 @dataclass(frozen=True)
@@ -326,7 +327,7 @@ def count_incidents(tables: Tables, as_of: Column, window_days: int = 30) -> Dat
     )
 
 
-def retry_attempts(tables: Tables) -> DataFrame:
+def retry_attempts(tables: Tables, scratch: Scratch) -> DataFrame:
     """Every incident with its place among its retries (oldest first) and the size of its group.
 
     The siblings of an incident are the other rows of its group; seen from incident i
@@ -336,28 +337,38 @@ def retry_attempts(tables: Tables) -> DataFrame:
         "retry_key", retry_key(F.col("test_root_parent_run_id"), F.col("test_result_id"))
     )
     group = ["test_name", "dataset_urn", "retry_key"]
-    ranked = with_rank(keys, group, ["test_executed_at", "test_result_id"], time_block(F.col("test_executed_at")),
-                       "attempt")
+    order = ["test_executed_at", "test_result_id"]
+    keys = range_blocks(keys, group, order, scratch)
+    ranked = with_rank(keys, group, order, F.col(RANGE), "attempt").drop(RANGE)
     sizes = keys.groupBy(*group).agg(F.count(F.lit(1)).alias("total_attempts"))
     return ranked.join(sizes, group)
 
 
-def other_attempts(tables: Tables, wanted: DataFrame) -> DataFrame:
+def attempt_rows(tables: Tables, scratch: Scratch) -> DataFrame:
+    """What the detail shows of each attempt: its number, state, resolution and producing run.
+
+    One row per incident; a group of n attempts has n rows, not n times n.
+    """
+    made = latest_producers(producers(tables)).select("dataset_urn", "job_run_id")
+    return with_resolution(tables, retry_attempts(tables, scratch).join(made, "dataset_urn")).select(
+        "test_name", "dataset_urn", "retry_key", "test_result_id", "attempt", "total_attempts", "test_status",
+        "test_executed_at", "job_run_id", ef.resolution_or_open(F.col("resolution_status")).alias("resolution_status"),
+    )
+
+
+def other_attempts(tables: Tables, wanted: DataFrame, scratch: Scratch) -> DataFrame:
     """The siblings of the given incidents, numbered without the incident itself.
 
-    ``wanted`` lists the ids a user asked for (one page at most).
+    ``wanted`` lists the ids a user asked for; for all incidents take ``attempt_rows``.
     """
-    attempts = retry_attempts(tables).filter(F.col("test_root_parent_run_id").isNotNull())
+    attempts = attempt_rows(tables, scratch).filter(F.col("total_attempts") > 1)
     group = ["test_name", "dataset_urn", "retry_key"]
     asked = attempts.join(wanted.select("test_result_id").distinct(), "test_result_id").select(
         *group, F.col("test_result_id").alias("incident_id"), F.col("attempt").alias("own_attempt")
     )
-    made = latest_producers(producers(tables)).select("dataset_urn", "job_run_id")
     siblings = attempts.join(asked, group).filter(F.col("test_result_id") != F.col("incident_id"))
-    numbered = siblings.withColumn(
-        "attempt", F.col("attempt") - F.when(F.col("attempt") > F.col("own_attempt"), 1).otherwise(0)
-    )
-    return with_resolution(tables, numbered.join(made, "dataset_urn")).select(
-        "incident_id", "test_result_id", "attempt", "test_status", "test_executed_at", "job_run_id",
-        ef.resolution_or_open(F.col("resolution_status")).alias("resolution_status"),
+    return siblings.select(
+        "incident_id", "test_result_id",
+        (F.col("attempt") - F.when(F.col("attempt") > F.col("own_attempt"), 1).otherwise(0)).alias("attempt"),
+        "test_status", "test_executed_at", "job_run_id", "resolution_status",
     )

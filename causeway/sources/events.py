@@ -37,6 +37,16 @@ def read_event_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
+_PARTITION_BITS = 20
+
+
+def arrival_number(partition: Column, offset: Column) -> Column:
+    """A unique number in the order of each partition; a number that would not be unique is an error."""
+    fits = (partition < (1 << _PARTITION_BITS)) & (offset < (1 << 63 - _PARTITION_BITS))
+    number = F.shiftleft(offset.cast("bigint"), _PARTITION_BITS).bitwiseOR(partition.cast("bigint"))
+    return F.when(fits, number).otherwise(F.raise_error(F.lit("partition or offset out of range")).cast("bigint"))
+
+
 def stream_topic(spark: SparkSession, servers: str, topic: str = DEFAULT_TOPIC) -> DataFrame:
     """Messages of a Kafka topic in arrival order per partition; needs the Kafka connector on the class path."""
     messages = (
@@ -48,8 +58,7 @@ def stream_topic(spark: SparkSession, servers: str, topic: str = DEFAULT_TOPIC)
     )
     return messages.select(
         F.lit(None).cast("bigint").alias("batch_id"),
-        # Unique, and in the order of each partition (a topic has fewer than 4096 of them).
-        (F.col("offset") * 4096 + F.col("partition")).alias("arrival"),
+        arrival_number(F.col("partition"), F.col("offset")).alias("arrival"),
         F.col("timestamp").alias("ingested_at"),
         F.col("value").cast("string").alias("value"),
     )

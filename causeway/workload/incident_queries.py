@@ -112,17 +112,17 @@ def failing(g: Given):
 
 
 def _list_sql(where: str) -> str:
-    """The list step by step: filter, one row per incident, then rank the retries."""
-    return f"""WITH filtered AS (SELECT v.*, ir.status AS resolution_status, ir.resolved_by, ir.resolution_reason, ir.mute_expires_at,
-    ir.updated_at AS resolution_updated_at FROM icv_all v LEFT JOIN resolutions ir ON v.test_result_id = ir.test_result_id WHERE {where}),
-  first_rows AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY test_result_id
-    ORDER BY job_started_at DESC, job_run_id, produced_urn) AS rn FROM filtered) x WHERE rn = 1),
-  attempts AS (SELECT *, row_number() OVER ({_GROUP} ORDER BY test_executed_at DESC, test_result_id DESC) AS row_num,
-    count(*) OVER ({_GROUP}) AS total_attempts,
-    row_number() OVER ({_GROUP} ORDER BY test_executed_at, test_result_id) AS current_attempt,
-    bool_and(test_status IN ('failed', 'error')) OVER ({_GROUP}) AS all_failed FROM first_rows)
-  SELECT * EXCLUDE (resolution_status), coalesce(resolution_status, 'open') AS resolution_status,
-    total_attempts > 1 AS has_retry_context FROM attempts WHERE row_num = 1"""
+    """The list: per incident its newest producer among the rows that pass, then one aggregation per retry group."""
+    return f"""SELECT unnest(best.row), coalesce(best.state.status, 'open') AS resolution_status, best.state.resolved_by AS resolved_by,
+    best.state.resolution_reason AS resolution_reason, best.state.mute_expires_at AS mute_expires_at,
+    best.state.updated_at AS resolution_updated_at, total_attempts, total_attempts AS current_attempt, all_failed,
+    total_attempts > 1 AS has_retry_context
+  FROM (SELECT arg_max(found, (found.row.test_executed_at, found.row.test_result_id)) AS best, count(*) AS total_attempts,
+      bool_and(found.row.test_status IN ('failed', 'error')) AS all_failed
+    FROM (SELECT arg_min({{'row': v, 'state': ir}}, (-epoch_us(v.job_started_at), v.job_run_id, v.produced_urn)) AS found
+      FROM icv_all v LEFT JOIN resolutions ir ON v.test_result_id = ir.test_result_id WHERE {where} GROUP BY v.test_result_id) x
+    GROUP BY found.row.test_name, found.row.dataset_urn,
+      coalesce(nullif(CAST(found.row.test_root_parent_run_id AS VARCHAR), ''), CAST(found.row.test_result_id AS VARCHAR))) y"""
 
 
 _LIST_COLUMNS = (
@@ -173,16 +173,16 @@ _ATTEMPTS = f"""SELECT test_result_id, test_name, dataset_urn, test_executed_at,
 
 @query("f4_attempt_numbers", _ATTEMPTS)
 def attempt_numbers(g: Given):
-    return incidents.retry_attempts(g.tables).select(
+    return incidents.retry_attempts(g.tables, g.scratch).select(
         "test_result_id", "test_name", "dataset_urn", "test_executed_at", "attempt", "total_attempts"
     )
 
 
-@query("d9_retry_siblings", f"SELECT test_result_id, total_attempts - 1 AS siblings FROM ({_ATTEMPTS}) a WHERE test_result_id IN "
-       "(SELECT test_result_id FROM one WHERE test_root_parent_run_id IS NOT NULL)")
+@query("d9_retry_siblings", f"SELECT test_result_id, test_name, dataset_urn, attempt, total_attempts - 1 AS siblings FROM ({_ATTEMPTS}) a "
+       "WHERE test_result_id IN (SELECT test_result_id FROM one WHERE test_root_parent_run_id IS NOT NULL)")
 def retry_siblings(g: Given):
-    attempts = incidents.retry_attempts(g.tables).filter("test_root_parent_run_id IS NOT NULL")
-    return attempts.select("test_result_id", (F.col("total_attempts") - 1).alias("siblings"))
+    attempts = incidents.retry_attempts(g.tables, g.scratch).filter("test_root_parent_run_id IS NOT NULL")
+    return attempts.select("test_result_id", "test_name", "dataset_urn", "attempt", (F.col("total_attempts") - 1).alias("siblings"))
 
 
 @query("e7_all_failed", f"SELECT {_SLIM.replace('test_result_id, ', '')} FROM ({_list_sql('true')}) q")
@@ -190,19 +190,13 @@ def all_failed(g: Given):
     return _cut(incidents.list_incidents(g.tables, g.as_of), _SLIM.replace("test_result_id, ", ""))
 
 
-_OTHERS = f"""SELECT c.test_result_id AS incident_id, s.test_result_id,
-  row_number() OVER (PARTITION BY c.test_result_id ORDER BY s.test_executed_at, s.test_result_id) AS attempt, s.test_status,
-  s.test_executed_at, s.job_run_id, coalesce(s.resolution_status, 'open') AS resolution_status FROM one c JOIN one_state s
-  ON c.test_name = s.test_name AND c.dataset_urn = s.dataset_urn AND c.test_root_parent_run_id = s.test_root_parent_run_id
-  AND c.test_result_id <> s.test_result_id"""
-_PAGE = "ORDER BY test_executed_at DESC, test_result_id DESC LIMIT 100"
-
-
-@query("f6_other_attempts", f"SELECT * FROM ({_OTHERS}) q WHERE incident_id IN (SELECT test_result_id FROM ({_list_sql('true')}) p {_PAGE})")
+@query("f6_other_attempts", """SELECT *, count(*) OVER (PARTITION BY test_name, dataset_urn, retry_key) AS total_attempts FROM (
+  SELECT test_name, dataset_urn, coalesce(nullif(CAST(test_root_parent_run_id AS VARCHAR), ''), CAST(test_result_id AS VARCHAR)) AS retry_key,
+  test_result_id, test_status, test_executed_at, job_run_id, coalesce(resolution_status, 'open') AS resolution_status,
+  row_number() OVER (PARTITION BY test_name, dataset_urn, retry_key ORDER BY test_executed_at, test_result_id) AS attempt FROM one_state) q""")
 def other_attempts(g: Given):
-    """The siblings of the incidents on one page of the list."""
-    asked = incidents.page(incidents.list_incidents(g.tables, g.as_of), 100, 0).select("test_result_id")
-    return incidents.other_attempts(g.tables, g.scratch.cut(asked))
+    """All attempts of all retry groups; the siblings of an incident are the other rows of its group."""
+    return incidents.attempt_rows(g.tables, g.scratch)
 
 
 @query("g1_list_page", f"SELECT {_SLIM}, test_executed_at, (SELECT count(*) FROM ({_list_sql('true')}) t) AS total_count FROM ({_list_sql('true')}) q "
@@ -276,24 +270,19 @@ def chains(g: Given):
     return _cut(graph.orchestration_chains(g.tables, g.scratch), _CHAIN)
 
 
-@query("i5_chain_levels", """SELECT c.run_id, m.n - c.depth AS position, c.ancestor_run_id AS level_run_id, c.job_name, c.status, false AS is_current
+@query("i5_chain_levels", """SELECT c.run_id, m.n - c.depth AS position, c.ancestor_run_id AS level_run_id, c.job_name, c.job_namespace, c.producer_name, c.status, false AS is_current
   FROM chain c JOIN (SELECT run_id, max(depth) AS n FROM chain GROUP BY run_id) m ON c.run_id = m.run_id
-  UNION ALL SELECT r.run_id, m.n, r.run_id, r.job_name, r.current_state, true FROM runs r
+  UNION ALL SELECT r.run_id, m.n, r.run_id, r.job_name, r.job_namespace, r.producer_name, r.current_state, true FROM runs r
   JOIN (SELECT run_id, max(depth) AS n FROM chain GROUP BY run_id) m ON r.run_id = m.run_id""")
 def chain_levels(g: Given):
     found = g.scratch.cut(graph.orchestration_chains(g.tables, g.scratch))
-    return graph.chain_levels(g.tables, found).drop("job_namespace", "producer_name")
+    return graph.chain_levels(g.tables, found)
 
 
-@query("i6_batch_trees", """SELECT d.run_id, count(*) AS tree_rows, count(DISTINCT d.dataset_urn) AS tree_datasets, max(d.depth) AS tree_depth
-  FROM down_tree d WHERE d.run_id IN (SELECT job_run_id FROM one) GROUP BY d.run_id""")
+@query("i6_batch_trees", "SELECT run_id, dataset_urn, dataset_name, depth, parent_urn, producer FROM down_tree WHERE run_id IN (SELECT job_run_id FROM one)")
 def batch_trees(g: Given):
-    starts = _starts(g)
-    tree = graph.downstream_trees(g.tables, g.scratch, starts)
-    sizes = tree.groupBy("run_id", "dataset_urn").agg(F.count(F.lit(1)).alias("n"), F.max("depth").alias("depth"))
-    return sizes.groupBy("run_id").agg(
-        F.sum("n").alias("tree_rows"), F.count(F.lit(1)).alias("tree_datasets"), F.max("depth").alias("tree_depth")
-    )
+    """The trees of the runs behind incidents, walked together."""
+    return graph.downstream_trees(g.tables, g.scratch, _starts(g))
 
 
 @query("f9_shortest_in_tree", "SELECT run_id, dataset_urn, min(depth) AS depth FROM down_tree GROUP BY run_id, dataset_urn")
@@ -388,12 +377,11 @@ def likely_match(g: Given):
     return health.orphans(g.tables).select("dataset_urn", "match_urn", "match_confidence", "match_reason", "match_producer")
 
 
-_STATS = f"""SELECT (SELECT count(DISTINCT {sql.canonical('dataset_urn')}) FROM tests WHERE status IN ('failed', 'error')) AS failed_tested,
-  (SELECT count(DISTINCT {sql.canonical('dataset_urn')}) FROM tests WHERE status IN ('failed', 'error')
-    AND {sql.canonical('dataset_urn')} IN (SELECT canonical_urn FROM produced)) AS correlated_failed,
-  (SELECT count(DISTINCT {sql.canonical('dataset_urn')}) FROM tests) AS tested, (SELECT count(*) FROM produced) AS produced,
-  (SELECT count(DISTINCT {sql.canonical('dataset_urn')}) FROM tests
-    WHERE {sql.canonical('dataset_urn')} IN (SELECT canonical_urn FROM produced)) AS correlated"""
+# One row per dataset with a flag for each way it occurs.
+_STATS = f"""SELECT count_if(failing) AS failed_tested, count_if(failing AND made) AS correlated_failed, count_if(tested) AS tested,
+  count_if(made) AS produced, count_if(tested AND made) AS correlated FROM (
+  SELECT bool_or(kind = 'made') AS made, bool_or(kind <> 'made') AS tested, bool_or(kind IN ('failed', 'error')) AS failing FROM (
+    SELECT {sql.canonical('dataset_urn')} AS urn, status AS kind FROM tests UNION ALL SELECT canonical_urn, 'made' FROM produced) u GROUP BY urn) f"""
 
 
 @query("e3_health_stats", _STATS)
@@ -401,7 +389,7 @@ def health_stats(g: Given):
     return health.health_stats(g.tables)
 
 
-@query("d11_counts_row", _STATS.replace("SELECT (SELECT", "SELECT 'all' AS scope, (SELECT", 1))
+@query("d11_counts_row", f"SELECT 'all' AS scope, s.* FROM ({_STATS}) s")
 def counts_row(g: Given):
     return health.health_stats(g.tables).select(F.lit("all").alias("scope"), "*")
 

@@ -223,7 +223,7 @@ def transitions(g: Given):
 
 @query("c5_sequences", "SELECT batch_id, run_id, event_count, first_arrival, sequence_error, final_state FROM verdicts")
 def sequences(g: Given):
-    return validation.sequence_errors(g.events)
+    return validation.sequence_errors(g.events, g.scratch)
 
 
 @query("n1_staging", "SELECT 'customer' AS kind, id AS row_id, id AS customer_id, name AS label FROM raw_customers "
@@ -344,24 +344,33 @@ def run_events(g: Given):
     return event_source.keep_run_events(g["messages"]).select("batch_id", "arrival")
 
 
-@query("a4_normalize", f"""SELECT e.arrival, e.event_type, e.run_id, e.job_namespace, e.job_name, e.producer,
-  coalesce(n_in, 0) AS n_inputs, coalesce(n_out, 0) AS n_outputs, first_urn FROM ev e LEFT JOIN (SELECT arrival,
-    count(*) FILTER (WHERE kind = 'i') AS n_in, count(*) FILTER (WHERE kind = 'o') AS n_out,
-    min(concat({sql.normalized("trim(d->>'$.namespace')")}, '/', trim(d->>'$.name'))) AS first_urn FROM (
-    SELECT arrival, 'o' AS kind, unnest(CAST(j->'$.outputs' AS JSON[])) AS d FROM ev
-    UNION ALL SELECT arrival, 'i', unnest(CAST(j->'$.inputs' AS JSON[])) FROM ev) x GROUP BY arrival) y ON e.arrival = y.arrival""")
+# One row per named dataset of each event, in one pass over the texts.
+_MENTIONED = f"""SELECT arrival, event_type, run_id, job_namespace, job_name, producer, kind, {sql.normalized('ns')} AS namespace, name,
+  facets FROM (SELECT *, trim(coalesce(d->>'$.namespace', '')) AS ns, trim(coalesce(d->>'$.name', '')) AS name,
+    coalesce(len(json_keys(d, '$.facets')), 0) AS facets FROM (SELECT * EXCLUDE (part), part.kind AS kind, unnest(part.items) AS d FROM (
+      SELECT arrival, event_type, run_id, job_namespace, job_name, producer,
+        unnest([{{'kind': 'output', 'items': CAST(j->'$.outputs' AS JSON[])}}, {{'kind': 'input', 'items': CAST(j->'$.inputs' AS JSON[])}}]) AS part
+      FROM ev) a) b) c"""
+
+
+@query("a4_normalize", f"SELECT * EXCLUDE (namespace, name), namespace, name, concat(namespace, '/', name) AS urn FROM ({_MENTIONED}) q "
+       "WHERE namespace <> '' AND name <> ''")
 def normalize(g: Given):
-    urns = F.transform(F.concat("inputs", "outputs"), lambda d: d["urn"])
-    return g.events.select(
+    """Every named dataset of every event, as it is stored."""
+    def kinds(name: str, kind: str):
+        return F.transform(name, lambda d: F.struct(F.lit(kind).alias("kind"), d.alias("d")))
+
+    rows = g.events.select(
         "arrival", "event_type", "run_id", "job_namespace", "job_name", "producer",
-        F.size("inputs").cast("bigint").alias("n_inputs"), F.size("outputs").cast("bigint").alias("n_outputs"),
-        F.array_min(urns).alias("first_urn"),
-    )
+        F.explode(F.concat(kinds("outputs", "output"), kinds("inputs", "input"))).alias("m"))
+    return rows.filter("m.d.namespace <> '' AND m.d.name <> ''").select(
+        "arrival", "event_type", "run_id", "job_namespace", "job_name", "producer", "m.kind", "m.d.namespace", "m.d.name", "m.d.urn",
+        F.size("m.d.facets").cast("bigint").alias("facets"))
 
 
 @query("a5_split", "SELECT batch_id, arrival, run_id, reject_reason AS reason, false AS retriable FROM checked WHERE reject_reason IS NOT NULL "
        "UNION ALL SELECT batch_id, arrival, run_id, NULL, NULL FROM checked WHERE reject_reason IS NULL")
 def split(g: Given):
-    good, bad = validation.split_events(validation.validate_batches(g.events))
+    good, bad = validation.split_events(validation.validate_batches(g.events, g.scratch))
     kept = good.select("batch_id", "arrival", "run_id", F.lit(None).cast("string").alias("reason"), F.lit(None).cast("boolean").alias("retriable"))
     return bad.unionByName(kept)

@@ -40,7 +40,7 @@ def run_upsert(g: Given):
 
 @query("j2_refused", "SELECT arrival, run_id FROM walk WHERE refused")
 def refused(g: Given):
-    checked = g.scratch.cut(validation.validate_batches(g.events))
+    checked = g.scratch.cut(validation.validate_batches(g.events, g.scratch))
     return runs.refused_events(checked.filter("reject_reason IS NULL"))
 
 
@@ -112,7 +112,7 @@ def resolved_datasets(g: Given):
 
 @query("j11_dedup", "SELECT idempotency_key, arrival, since AS ingested_at, since + INTERVAL 24 HOUR AS expires_at FROM taken WHERE kept")
 def dedup_events(g: Given):
-    checked = g.scratch.cut(validation.validate_batches(g.events).filter("reject_reason IS NULL"))
+    checked = g.scratch.cut(validation.validate_batches(g.events, g.scratch).filter("reject_reason IS NULL"))
     accepted = g.scratch.cut(runs.accept_events(checked))
     return dedup.accepted_copies(accepted, g.scratch)
 

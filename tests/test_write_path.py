@@ -87,20 +87,20 @@ def test_dedup_is_greedy_per_key(spark, scratch):
     assert {r.arrival for r in dedup.accepted_copies(frame, scratch).collect()} == want
 
 
-def sequence(spark, kinds):
+def sequence(spark, scratch, kinds):
     rows = [(1, i, "r", kind, T0 + dt.timedelta(minutes=minute)) for i, (kind, minute) in enumerate(kinds)]
     frame = spark.createDataFrame(rows, "batch_id long, arrival long, run_id string, event_type string, event_time timestamp")
-    row = validation.sequence_errors(frame).collect()[0]
+    row = validation.sequence_errors(frame, scratch).collect()[0]
     return row.sequence_error, row.final_state
 
 
-def test_sequences(spark):
-    assert sequence(spark, [("COMPLETE", 2), ("START", 0), ("RUNNING", 1)]) == (None, "COMPLETE")
-    assert sequence(spark, [("START", 0), ("START", 1)])[0] == "duplicate_start"
-    assert sequence(spark, [("START", 0), ("RUNNING", 1), ("START", 2)])[0] == "backward_transition"
-    assert sequence(spark, [("START", 0), ("COMPLETE", 1), ("FAIL", 130)])[0] == "terminal_state_immutable"
-    assert sequence(spark, [("OTHER", 0), ("START", 1), ("OTHER", 200), ("COMPLETE", 300), ("OTHER", 400)]) == (None, "COMPLETE")
-    assert sequence(spark, [("OTHER", 0), ("OTHER", 1)]) == (None, "OTHER")
+def test_sequences(spark, scratch):
+    assert sequence(spark, scratch, [("COMPLETE", 2), ("START", 0), ("RUNNING", 1)]) == (None, "COMPLETE")
+    assert sequence(spark, scratch, [("START", 0), ("START", 1)])[0] == "duplicate_start"
+    assert sequence(spark, scratch, [("START", 0), ("RUNNING", 1), ("START", 2)])[0] == "backward_transition"
+    assert sequence(spark, scratch, [("START", 0), ("COMPLETE", 1), ("FAIL", 130)])[0] == "terminal_state_immutable"
+    assert sequence(spark, scratch, [("OTHER", 0), ("START", 1), ("OTHER", 200), ("COMPLETE", 300), ("OTHER", 400)]) == (None, "COMPLETE")
+    assert sequence(spark, scratch, [("OTHER", 0), ("OTHER", 1)]) == (None, "OTHER")
 
 
 def test_page_rules():
