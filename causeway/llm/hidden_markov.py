@@ -37,8 +37,9 @@ CLASSES = 1 << 15
 ITERATIONS = 3
 PRIOR = 200.0
 STAY = 0.9
-# Tokens per block, and per stretch of a text that the recursions handle side by side.
-BLOCK_TOKENS = 1 << 18
+# Tokens per block, those that the recursions take at once, and those of a stretch of a text.
+BLOCK_TOKENS = 1 << 21
+CHUNK_TOKENS = 1 << 17
 STRETCH = 64
 END = np.uint64(xxhash.xxh64_intdigest(b"\n"))  # no word holds a line end
 
@@ -46,21 +47,28 @@ END = np.uint64(xxhash.xxh64_intdigest(b"\n"))  # no word holds a line end
 # ------------------------------------------------------------------ blocks
 
 _BLOCK = ("block bigint, doc_id array<bigint>, held array<boolean>, length array<int>, "
-          "words binary, token binary")
+          "words binary, token_low binary, token_high binary")
 
 
 def _pack(batches):
-    """(doc_id, text, held) to blocks: the block's distinct word hashes, and each text as places in them."""
+    """(doc_id, text, held) to blocks: the block's distinct word hashes, and each text as places in them.
+
+    The words are in order of falling frequency, so that places are small numbers and pack well.
+    """
     task, count = TaskContext.get().partitionId(), 0
     ids, held, lengths, parts, size = [], [], [], [], 0
 
     def flush():
-        words, token = np.unique(np.concatenate(parts), return_inverse=True)
+        words, token, times = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        order = np.argsort(-times, kind="stable")
+        rank = np.empty(len(words), np.uint32)
+        rank[order] = np.arange(len(words), dtype=np.uint32)
+        words, token = words[order], rank[token]
         return pa.record_batch(
             [pa.array([(task << 32) + count]), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())),
              pa.array([lengths], pa.list_(pa.int32())), pa.array([words.tobytes()]),
-             pa.array([token.astype(np.uint32).tobytes()])],
-            names=["block", "doc_id", "held", "length", "words", "token"])
+             pa.array([token.astype(np.uint16).tobytes()]), pa.array([(token >> np.uint32(16)).astype(np.uint16).tobytes()])],
+            names=["block", "doc_id", "held", "length", "words", "token_low", "token_high"])
 
     for batch in batches:
         for i in range(batch.num_rows):
@@ -85,7 +93,8 @@ class _Block:
     def __init__(self, row: dict):
         self.block, self.ids, self.held = row["block"], row["doc_id"], np.array(row["held"], bool)
         self.length = np.array(row["length"], np.int64)
-        self.words, self.token = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["token"], np.uint32)
+        self.words, low = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["token_low"], np.uint16)
+        self.token = low.astype(np.uint32) + (np.frombuffer(row["token_high"], np.uint16).astype(np.uint32) << np.uint32(16))
         self.start = np.concatenate(([0], np.cumsum(self.length)[:-1]))
 
     def classes(self) -> np.ndarray:
@@ -94,6 +103,11 @@ class _Block:
         made[self.words == END] = CLASSES
         return made[self.token]
 
+    def chunks(self, rows: np.ndarray):
+        """The rows in runs of about CHUNK_TOKENS tokens; a longer text is a run of its own."""
+        end = np.cumsum(self.length[rows])
+        return np.split(rows, np.flatnonzero(np.diff((end - self.length[rows]) // CHUNK_TOKENS)) + 1) if len(rows) else []
+
 
 class _Stretches:
     """The tokens of some texts of a block, cut into stretches of at most STRETCH tokens.
@@ -178,16 +192,25 @@ class Chain:
 
     def likelihoods(self, block: _Block) -> np.ndarray:
         """Natural log likelihood of each text of the block."""
-        cut = _Stretches(block, np.arange(len(block.length)))
-        return self.forward(*self.transfers(block.classes(), cut), cut)[0]
+        classes, total = block.classes(), np.zeros(len(block.length))
+        for rows in block.chunks(np.arange(len(block.length))):
+            cut = _Stretches(block, rows)
+            total[rows] = self.forward(*self.transfers(classes, cut), cut)[0]
+        return total
 
     def expected(self, block: _Block, rows: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> float:
-        """Add the expected counts of the texts ``rows``; returns their log likelihood.
+        """Add the expected counts of the texts ``rows``; returns their log likelihood."""
+        classes = block.classes()
+        return sum(self._expected(block, classes, part, start, move, emit) for part in block.chunks(rows))
+
+    def _expected(self, block: _Block, classes: np.ndarray, rows: np.ndarray, start: np.ndarray, move: np.ndarray,
+                  emit: np.ndarray) -> float:
+        """The counts of one run of texts.
 
         What reaches a stretch from both ends is known from the transfer matrices, so the
         recursions inside run over all stretches at once and give the counts of whole texts.
         """
-        classes, cut, states = block.classes(), _Stretches(block, rows), len(self.start)
+        cut, states = _Stretches(block, rows), len(self.start)
         matrix, log = self.transfers(classes, cut)
         total, before, previous = self.forward(matrix, log, cut)
         after = np.ones((cut.texts, states))
@@ -261,16 +284,15 @@ def _first_chain(shares: np.ndarray, seeds: list[np.ndarray], states: int) -> Ch
 
 
 def _seed_texts(batches):
-    """Per block, the class counts of a few training texts."""
+    """Per block, the classes of a few training texts."""
     for block in _blocks_of(batches):
         classes = block.classes()
         rows = np.flatnonzero(~block.held & (block.length > 50))
         key = mixed(rows.astype(np.uint64) ^ mixed(np.array([block.block], np.uint64)))
         for i in np.argsort(key)[:4]:
             row = rows[i]
-            counts = np.bincount(classes[block.start[row]:block.start[row] + block.length[row]], minlength=CLASSES + 1)
-            yield pa.record_batch([pa.array([int(key[i] >> np.uint64(1))]), pa.array([counts.astype(np.uint32).tobytes()])],
-                                  names=["key", "counts"])
+            seen = classes[block.start[row]:block.start[row] + block.length[row]].astype(np.uint16)
+            yield pa.record_batch([pa.array([int(key[i] >> np.uint64(1))]), pa.array([seen.tobytes()])], names=["key", "seen"])
 
 
 class Model:
@@ -292,8 +314,8 @@ def _train(blocks: DataFrame, vocabulary: DataFrame, states: int, iterations: in
         n[row["k"]], v[row["k"]] = row["n"], row["v"]
     class_total = n + 0.1 * (v + 1)
     shares = class_total / class_total.sum()
-    found = (blocks.mapInArrow(_seed_texts, "key bigint, counts binary").orderBy("key", "counts").limit(seeds).collect())
-    candidates = [np.frombuffer(r["counts"], np.uint32).astype(float) for r in found]
+    found = (blocks.mapInArrow(_seed_texts, "key bigint, seen binary").orderBy("key", "seen").limit(seeds).collect())
+    candidates = [np.bincount(np.frombuffer(r["seen"], np.uint16), minlength=CLASSES + 1).astype(float) for r in found]
     chosen: list[np.ndarray] = []
     if candidates:
         points = np.sqrt(np.stack(candidates))
@@ -337,7 +359,8 @@ def _score(model: Model):
                 counts = np.zeros(len(block.words), np.int64)
                 known = np.array(row["h"], np.int64).view(np.uint64)
                 if len(known):
-                    counts[np.searchsorted(block.words, known)] = row["c"]
+                    order = np.argsort(block.words)
+                    counts[order[np.searchsorted(block.words, known, sorter=order)]] = row["c"]
                 classes = block.classes()
                 weight = np.where(counts > 0, np.log10(counts + 0.1), unknown)[block.token]
                 base = np.add.reduceat(weight - floor, block.start)

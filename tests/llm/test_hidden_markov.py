@@ -17,7 +17,8 @@ def block_of(lengths, distinct=500, seed=0):
     words = np.unique(np.append(rng.integers(0, 2**64, distinct, dtype=np.uint64), hm.END))
     token = rng.integers(0, len(words), sum(lengths)).astype(np.uint32)
     return hm._Block({"block": 3, "doc_id": list(range(len(lengths))), "held": [False] * len(lengths), "length": list(lengths),
-                      "words": words.tobytes(), "token": token.tobytes()})
+                      "words": words.tobytes(), "token_low": token.astype(np.uint16).tobytes(),
+                      "token_high": (token >> np.uint32(16)).astype(np.uint16).tobytes()})
 
 
 def chain(states, seed=1):
@@ -37,7 +38,8 @@ def plain_forward(c, sequence):
 
 
 @pytest.mark.parametrize("states", [1, 4])
-def test_recursions_equal_plain_ones(states):
+def test_recursions_equal_plain_ones(states, monkeypatch):
+    monkeypatch.setattr(hm, "CHUNK_TOKENS", 400)
     lengths = [1, 2, 63, 64, 65, 128, 300, 1, 700]
     block, c = block_of(lengths), chain(states)
     classes = block.classes()
