@@ -87,7 +87,7 @@ def distance(a: str, b: str) -> int:
 
 
 def line_words(line: str) -> list[str]:
-    return ["".join(w) for w in re.findall(r"[^\W_]+", line.lower())]
+    return re.findall("[0-9a-z\x80-\U0010ffff]+", line.lower())
 
 
 def simhash(words: list[str]) -> int:
