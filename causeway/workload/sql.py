@@ -188,9 +188,12 @@ CTES: dict[str, str] = {
   (SELECT arg_min(problem, n) FROM (SELECT n, {transition('before', 'event_type')} AS problem FROM steps t
      WHERE t.batch_id = s.batch_id) q WHERE problem IS NOT NULL) AS sequence_error,
   coalesce((SELECT arg_max(event_type, n) FROM steps t WHERE t.batch_id = s.batch_id), 'OTHER') AS final_state FROM single s""",
+    # The n-th event in time takes the n-th place that its batch has in the order of arrival.
+    "trade": """SELECT t.arrival, p.arrival AS new_arrival FROM (SELECT batch_id, arrival, row_number() OVER (PARTITION BY batch_id
+    ORDER BY sort_time, arrival) AS n FROM ordered) t JOIN (SELECT batch_id, arrival, row_number() OVER (PARTITION BY batch_id
+    ORDER BY arrival) AS n FROM ordered) p ON t.batch_id = p.batch_id AND t.n = p.n""",
     "placed": """SELECT e.* EXCLUDE (arrival), coalesce(o.new_arrival, e.arrival) AS arrival, v.sequence_error FROM ev e
-  LEFT JOIN (SELECT batch_id, sequence_error FROM verdicts) v ON e.batch_id = v.batch_id LEFT JOIN (SELECT arrival, first_arrival - 1 +
-    row_number() OVER (PARTITION BY batch_id ORDER BY sort_time, arrival) AS new_arrival FROM ordered) o ON e.arrival = o.arrival""",
+  LEFT JOIN (SELECT batch_id, sequence_error FROM verdicts) v ON e.batch_id = v.batch_id LEFT JOIN trade o ON e.arrival = o.arrival""",
     "checked": f"""SELECT *, coalesce(CASE WHEN sequence_error IS NOT NULL THEN concat('invalid_sequence:', sequence_error) END, {REASON})
   AS reject_reason FROM placed""",
     "ranked": """SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY arrival) AS n FROM checked WHERE reject_reason IS NULL""",
