@@ -6,30 +6,37 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from causeway import schemas
 from causeway.functions import event_fields as ef
+from causeway.operators.ordered import RANGE, range_blocks, with_rank
+from causeway.session import Scratch
 from causeway.functions.urn import dataset_urn, trimmed, urn_error, urn_name, urn_namespace
 
 DEFAULT_TOPIC = "openlineage.events"
 
 
-def read_event_batch(spark: SparkSession, path: str) -> DataFrame:
-    """Files that hold one JSON array of events each; every file is one batch.
+def read_event_batch(spark: SparkSession, path: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Files that hold one JSON array of events each: (events, refused files).
 
-    Parsing is fail-fast, and an empty array is an error (see ``require_events``).
+    Every file is one batch, received when it was last changed. Events get ``batch_id``, ``arrival`` (by
+    time and name of the file, then by place in the array) and ``ingested_at``. A file that is no
+    JSON array, or an empty one, is refused with a reason and does not concern the others.
     """
-    return (
-        spark.read.schema(schemas.WIRE_EVENT)
-        .option("multiLine", True)
-        .option("mode", "FAILFAST")
-        .json(path)
-        .withColumn("source_file", F.col("_metadata.file_path"))
-    )
-
-
-def require_events(batch: DataFrame) -> DataFrame:
-    """Reject a batch without events; looks at one row only."""
-    if batch.isEmpty():
-        raise ValueError("event array cannot be empty")
-    return batch
+    files = spark.read.text(path, wholetext=True).select(
+        "value", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_modification_time").alias("ingested_at"))
+    parsed = files.withColumn("events", F.from_json("value", f"array<{schemas.WIRE_EVENT_TYPE}>"))
+    is_list = F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("ARRAY"), F.lit(False))
+    reason = F.when(~is_list | F.col("events").isNull(), "not_an_event_array").when(F.size("events") == 0, "empty_event_array")
+    judged = scratch.cut(parsed.select("source_file", "ingested_at", "events", reason.alias("reason")))
+    good = judged.filter("reason IS NULL")
+    # One slim row per file is numbered; the events follow by their place.
+    slim = good.select(F.lit(0).alias("one"), "ingested_at", "source_file")
+    order = ["ingested_at", "source_file"]
+    ranged = range_blocks(slim, ["one"], order, scratch)
+    numbered = with_rank(ranged, ["one"], order, F.col(RANGE), "file_no").select("source_file", "file_no")
+    events = good.join(numbered, "source_file").select(
+        F.xxhash64("source_file").alias("batch_id"), "ingested_at", "source_file", "file_no", F.posexplode("events").alias("place", "event"))
+    arrival = arrival_number(F.col("place"), F.col("file_no"))
+    return (events.select("batch_id", arrival.alias("arrival"), "ingested_at", "source_file", "event.*"),
+            judged.filter("reason IS NOT NULL").select("source_file", "ingested_at", "reason"))
 
 
 def read_event_lines(spark: SparkSession, path: str) -> DataFrame:

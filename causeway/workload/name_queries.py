@@ -323,20 +323,22 @@ def expectations(g: Given):
     )
 
 
-@query("a1_read_batches", "SELECT arrival, tt AS event_time, j->>'$.eventType' AS event_type, j->>'$.run.runId' AS run_id FROM ev0")
+@query("a1_read_batches", """SELECT floor(arrival / 4096)::BIGINT AS part, row_number() OVER (PARTITION BY floor(arrival / 4096) ORDER BY arrival) - 1 AS place,
+  tt AS event_time, j->>'$.eventType' AS event_type, j->>'$.run.runId' AS run_id FROM ev0""")
 def read_batches(g: Given):
-    """Events written as lines of text and read back with the fixed schema."""
-    path = f"{g.scratch.root}/lines"
-    valid = event_source.keep_run_events(g["messages"])
-    valid.select(F.concat(F.col("arrival"), F.lit("\t"), F.col("value")).alias("value")).write.text(path)
-    lines = event_source.read_event_lines(g.spark, path)
-    split = lines.select(
-        F.substring_index("value", "\t", 1).cast("bigint").alias("arrival"),
-        F.expr("substring(value, locate('\t', value) + 1)").alias("value"),
-    )
-    return event_source.parse_events(split).select(
-        "arrival", F.col("eventTime").alias("event_time"), F.col("eventType").alias("event_type"), F.col("run.runId").alias("run_id")
-    )
+    """Events written as files of one JSON array each, beside one broken and one empty file, and read back."""
+    path = f"{g.scratch.root}/requests"
+    valid = event_source.keep_run_events(g["messages"]).withColumn("part", F.floor(F.col("arrival") / 4096))
+    arrays = valid.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("arrival", "value"))).alias("m")).select(
+        "part", F.concat(F.lit("["), F.array_join("m.value", ",\n"), F.lit("]")).alias("value"))
+    arrays.write.partitionBy("part").text(path)
+    broken = g.spark.createDataFrame([(-1, "[{broken"), (-2, "[]")], "part long, value string")
+    broken.write.mode("append").partitionBy("part").text(path)
+    events, _ = event_source.read_event_batch(g.spark, path, g.scratch)
+    # A partition of the path is one file here; the place in it is in the lower bits' stead of a partition.
+    part = F.regexp_extract("source_file", "part=(-?[0-9]+)", 1).cast("bigint")
+    return events.select(part.alias("part"), F.col("arrival").bitwiseAND(F.lit((1 << 20) - 1)).alias("place"),
+                         F.col("eventTime").alias("event_time"), F.col("eventType").alias("event_type"), F.col("run.runId").alias("run_id"))
 
 
 @query("a3_run_events", "SELECT batch_id, arrival FROM probe")

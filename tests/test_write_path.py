@@ -6,12 +6,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from causeway.operators import dedup, ordered, resolution, runs, validation
+from causeway.operators.ingest import ingest
 from causeway.sources import events as event_source
 from causeway.sources.table_store import KeyedTable
-from causeway.streaming.ingest import LineageStore
+from causeway.streaming.ingest import LineageStore, start_dedup
 
 T0 = dt.datetime(2024, 1, 1)
 TERMINAL = ("COMPLETE", "FAIL", "ABORT")
+RESOLUTIONS = (
+    "test_result_id string, status string, resolved_by string, resolution_reason string, resolution_note string, "
+    "resolved_by_test_result_id string, mute_expires_at timestamp, updated_at timestamp")
 SPEC = "https://openlineage.io/spec/2-0-2/OpenLineage.json"
 
 
@@ -111,18 +115,24 @@ def test_page_rules():
             validation.check_page(**bad)
 
 
-def test_event_array_file(spark, tmp_path):
+def test_event_array_file(spark, scratch, tmp_path):
     record = {"eventTime": "2025-10-21T10:05:00Z", "eventType": " START ", "producer": "p", "schemaURL": SPEC,
               "run": {"runId": "r1", "facets": {"custom": {"deep": [1, 2]}}}, "job": {"namespace": "n", "name": "j"},
               "inputs": [{"namespace": "postgres://db:5432/my", "name": "t"}], "outputs": None}
     (tmp_path / "good.json").write_text(json.dumps([record, record], indent=1))
-    batch = event_source.require_events(event_source.read_event_batch(spark, str(tmp_path / "good.json")))
-    row = event_source.normalize_events(batch).collect()[0]
+    (tmp_path / "empty.json").write_text("[]")
+    (tmp_path / "broken.json").write_text("[{")
+    (tmp_path / "object.json").write_text(json.dumps(record))
+    events, refused = event_source.read_event_batch(spark, str(tmp_path), scratch)
+    rows = event_source.normalize_events(events).collect()
+    row = rows[0]
+    assert len(rows) == 2 and len({r.arrival for r in rows}) == 2 and len({r.batch_id for r in rows}) == 1 and row.ingested_at
     assert (row.event_type, json.loads(row.run_facets["custom"]), row.outputs, row.job_facets) == ("START", {"deep": [1, 2]}, [], {})
     assert (row.inputs[0].namespace, row.inputs[0].name, row.inputs[0].urn) == ("postgresql://db", "my/t", "postgresql://db/my/t")
-    (tmp_path / "empty.json").write_text("[]")
-    with pytest.raises(ValueError):
-        event_source.require_events(event_source.read_event_batch(spark, str(tmp_path / "empty.json")))
+    reasons = {r.source_file.rsplit("/", 1)[1]: r.reason for r in refused.collect()}
+    assert reasons == {"empty.json": "empty_event_array", "broken.json": "not_an_event_array", "object.json": "not_an_event_array"}
+    none = spark.createDataFrame([], RESOLUTIONS)
+    assert ingest(event_source.normalize_events(events), scratch, none).outcomes.count() == 2
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
@@ -134,8 +144,7 @@ def test_resolution_requests(spark, seed):
     incidents = spark.createDataFrame(members, "test_result_id string, test_name string, dataset_urn string, test_root_parent_run_id string")
     table = spark.createDataFrame(
         [(k, v, "a", "", "", None, None, T0) for k, v in old.items()],
-        "test_result_id string, status string, resolved_by string, resolution_reason string, resolution_note string, "
-        "resolved_by_test_result_id string, mute_expires_at timestamp, updated_at timestamp")
+        RESOLUTIONS)
     requests = resolution.check_requests(spark.createDataFrame(
         [(s, t, status, "why", "", 5, "me", T0 + dt.timedelta(days=s)) for s, t, status in asked],
         "seq long, test_result_id string, status string, reason string, note string, mute_days int, resolved_by string, requested_at timestamp"))
@@ -210,3 +219,81 @@ def test_keyed_table(spark, scratch, tmp_path):
     table.insert_missing(spark.range(18, 22).selectExpr("id", "'late' AS v"), scratch)
     got = {r.id: r.v for r in table.read().collect()}
     assert got == {**{i: "old" for i in range(20)}, **{i: "new" for i in range(5)}, 20: "late", 21: "late"}
+
+
+def test_interleaved_batches_trade_their_own_places(spark, scratch):
+    def row(batch, arrival, run, kind, minute):
+        return (batch, arrival, run, kind, T0 + dt.timedelta(minutes=minute), "p", SPEC, "n", "j")
+
+    rows = [row(1, 10, "a", "COMPLETE", 5), row(2, 11, "b", "COMPLETE", 9), row(1, 12, "a", "START", 0), row(2, 13, "b", "START", 1)]
+    frame = spark.createDataFrame(rows, "batch_id long, arrival long, run_id string, event_type string, event_time timestamp, "
+                                  "producer string, schema_url string, job_namespace string, job_name string")
+    got = {r.message: (r.run_id, r.event_type, r.arrival) for r in validation.validate_batches(frame, scratch).collect()}
+    assert got == {10: ("a", "COMPLETE", 12), 12: ("a", "START", 10), 11: ("b", "COMPLETE", 13), 13: ("b", "START", 11)}
+
+
+def test_rows_close_in_time_span_several_ranges(spark, scratch):
+    rows = [("k", T0 + dt.timedelta(seconds=i), i) for i in range(400)]
+    frame = spark.createDataFrame(rows, "k string, t timestamp, i long").repartition(3)
+    ranged = ordered.range_blocks(frame, ["k"], ["t", "i"], scratch)
+    assert ranged.select(ordered.RANGE).distinct().count() > 1
+    ranked = ordered.with_rank(ranged, ["k"], ["t", "i"], F.col(ordered.RANGE), "n")
+    assert {r.i: r.n for r in ranked.collect()} == {i: i + 1 for i in range(400)}
+
+
+def test_replay_of_a_refused_event(spark, tmp_path):
+    """COMPLETE, a refused FAIL, COMPLETE: done again, the batch changes nothing."""
+    batch = spark.createDataFrame(
+        [message(1, "a", "COMPLETE", 2), message(2, "a", "FAIL", 3), message(3, "a", "COMPLETE", 5)],
+        "batch_id long, arrival long, ingested_at timestamp, value string")
+    store = LineageStore(spark, str(tmp_path / "store"), buckets=2)
+    store.apply(batch)
+
+    def state():
+        return {name: sorted(map(str, store.tables[name].read().collect())) for name in store.tables}
+
+    once = state()
+    assert len(once["rejected"]) == 1 and len(once["runs"]) == 1
+    store.apply(batch)
+    assert state() == once
+    history = [(r.arrival, r.from_state, r.to_state) for r in store.tables["history"].read().collect()]
+    assert history == [(1, None, "COMPLETE")]
+
+
+def test_requests_on_stored_resolutions_and_expiry_of_keys(spark, tmp_path):
+    store = LineageStore(spark, str(tmp_path / "store"), buckets=1)
+    schema = "batch_id long, arrival long, ingested_at timestamp, value string"
+    store.apply(spark.createDataFrame([message(1, "m", "COMPLETE", 0), message(2, "m", "COMPLETE", 1, outputs=False, success=False)], schema))
+    assert store.tables["keys"].read().count() == 2
+    failed = store.read().tests.first().test_result_id
+    asked = spark.createDataFrame(
+        [(1, failed, "acknowledged", "", "", 0, "me", T0), (2, failed, "muted", "known", "", 5, "me", T0)],
+        "seq long, test_result_id string, status string, reason string, note string, mute_days int, resolved_by string, requested_at timestamp")
+    store.apply_requests(asked)
+    found = store.read().resolutions.collect()
+    assert [(r.test_result_id, r.status, r.mute_expires_at) for r in found] == [(failed, "muted", T0 + dt.timedelta(days=5))]
+    store.apply(spark.createDataFrame([message(3, "z", "START", 0, hour=49)], schema))
+    assert [r.arrival for r in store.tables["keys"].read().collect()] == [3]
+
+
+def test_stream_keeps_a_copy_after_a_day(spark, tmp_path):
+    """One file per micro-batch; the time to live counts from the copy that was kept."""
+    schema = "arrival long, idempotency_key string, ingested_at timestamp"
+    hours = [0, 5, 23, 25, 48, 50]
+    for i, hour in enumerate(hours):
+        rows = [(i * 2, "k", T0 + dt.timedelta(hours=hour)), (i * 2 + 1, f"own{i}", T0)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    start_dedup(stream, str(tmp_path / "out"), str(tmp_path / "progress"), buckets=2, available_now=True).awaitTermination()
+    kept = {r.arrival for r in spark.read.parquet(str(tmp_path / "out" / "events")).collect()}
+    assert kept == {0, 6, 10, *range(1, 12, 2)}
+
+
+def test_a_write_that_fails_changes_nothing(spark, scratch, tmp_path):
+    rows = spark.range(20).selectExpr("id", "'old' AS v")
+    table = KeyedTable(spark, str(tmp_path / "t"), rows.schema, ["id"], buckets=4)
+    table.upsert(rows, scratch)
+    broken = spark.range(20).selectExpr("id", "CASE WHEN id = 19 THEN raise_error('stop') ELSE 'new' END AS v")
+    with pytest.raises(Exception):
+        table.merge(rows, lambda old, new: broken, scratch)
+    assert {r.v for r in table.read().collect()} == {"old"} and table.read().count() == 20
