@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from causeway.llm.common import Work
+
 DIMENSIONS = 4096
 CENTROIDS = 4
 ROUNDS = 12
@@ -151,7 +153,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     seen = np.zeros(DIMENSIONS)
     seen[list(found)] = list(found.values())
     idf = (np.log((1 + total) / (1 + seen)) + 1).astype(np.float32)
-    per_lang = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("of"))
+    # Written, so that its size is known and texts are sampled before they are shuffled.
+    per_lang = Work(spark).cut(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("of")))
     chance = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("of"))
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     chosen = rows.join(per_lang, "lang").where(draw < chance).select("lang", "text")
