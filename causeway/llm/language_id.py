@@ -137,9 +137,10 @@ class Model:
         self.langs, self.centroids, self.idf, self.radii = langs, centroids, idf, radii
 
     def predict(self, counts: np.ndarray):
-        cosine = _vectors(counts, self.idf) @ self.centroids.T
+        # In doubles, rounded: the sums of a product depend on the rows beside, in the last places.
+        cosine = np.round(_vectors(counts, self.idf).astype(np.float64) @ self.centroids.T.astype(np.float64), 9)
         best = cosine.argmax(axis=1)
-        score = np.clip(cosine[np.arange(len(cosine)), best].astype(float), 0, 1)
+        score = np.clip(cosine[np.arange(len(cosine)), best], 0, 1)
         return [self.langs[b] for b in best], score, (1 - score) > self.radii[_length_bin(counts)]
 
 
