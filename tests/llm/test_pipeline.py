@@ -24,10 +24,10 @@ def documents():
         if i % 7 == 0:
             lines.append(shared)
         rows.append((i, "\n".join(lines), lang, rng.choice(["s1", "s2", None])))
-    for i in range(60, 75):  # near copies: words put in between, so the lines differ
-        words = rows[i - 50][1].split(" ")
+    for i in range(60, 75):  # near copies, broken into other lines, which line dedup does not see
+        words = rows[i - 50][1].split()
         words.insert(rng.randrange(len(words) + 1), word("aa"))
-        rows.append((i, " ".join(words), rows[i - 50][2], "s1"))
+        rows.append((i, "\n".join(" ".join(words[n:n + 9]) for n in range(0, len(words), 9)), rows[i - 50][2], "s1"))
     rows += [(80, "Это другой язык. " * 20, None, "s1"), (81, None, "aa", "s2"), (82, "", "aa", "s2"), (83, "77 -- 8", None, "s2")]
     return [(*r, len(r[1] or "")) for r in rows]
 
