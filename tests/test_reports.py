@@ -122,7 +122,7 @@ def test_chains(spark, scratch):
     assert shown == {"c": ["a", "b", "c"], "x": ["gone", "x"], "a": []}
 
 
-def test_retries_and_filters(spark):
+def test_retries_and_filters(spark, scratch):
     edges = [("w", "n/d", "output"), ("w2", "n/d", "output")]
     tests = [result(600, "t", "n/d", "a1", "failed", 1), result(601, "t", "n/d", "a2", "error", 2), result(602, "t", "n/d", "a3", "passed", 3),
              result(700, "u", "n/d", "a1", "failed", 1), result(701, "v", "n/d", "none", "failed", 5)]
