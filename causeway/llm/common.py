@@ -12,7 +12,7 @@ from causeway.session import Scratch
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 # Pivots per bucket in the second round of ``linked_components``.
-PIVOTS = 32
+PIVOTS = 256
 
 
 class Work(Scratch):
