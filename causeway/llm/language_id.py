@@ -5,7 +5,8 @@ else as one space), damped by a square root, weighted by inverse document freque
 normalised. Document frequencies come from all learning documents. The labelled vectors of a
 language are clustered by spherical k-means; a text belongs to the language of the centroid of
 largest cosine. It is rejected when it lies farther from that centroid than the farthest learning
-text of similar or greater length in any language, with a margin.
+text of similar or greater length in any language, with a margin. The centroids are fitted on a
+sample; the distances are those of all learning texts, counted in a second pass.
 
 Results for odd input: a text that is null or has no letter gets ``und`` with score 0 and is
 rejected; so does every text if there is nothing to learn from; rows are predicted one by one, so
@@ -29,6 +30,8 @@ ROUNDS = 12
 SAMPLE = 1500
 # Rejection radii are kept per power of two of the number of n-grams.
 LENGTH_BINS = 24
+# Distances are counted in cells of this many to the unit.
+CELLS = 1000
 MARGIN = 1.3
 UNKNOWN = "und"
 
@@ -98,15 +101,15 @@ def _length_bin(counts: np.ndarray) -> np.ndarray:
 
 
 def _cluster(idf: np.ndarray):
-    """The labelled texts of one language to its centroids and, per length, its largest distance."""
+    """The labelled texts of one language to its centroids."""
 
     def run(table: pa.Table) -> pa.Table:
         batches = table.select(["text"]).combine_chunks().to_batches()
         counts = np.concatenate([c for _, _, c in _blocks(batches, _FIRST)] or [np.zeros((0, DIMENSIONS), np.int64)])
         points = _vectors(counts, idf)
-        names = ["lang", "centroid", "radii"]
+        names = ["lang", "centroid"]
         if not len(points):
-            return pa.table([pa.array([], pa.string()), pa.array([], pa.binary()), pa.array([], pa.binary())], names=names)
+            return pa.table([pa.array([], pa.string()), pa.array([], pa.binary())], names=names)
         # Start from texts far apart, then move to the mean directions.
         picked = [int(np.argmax(points @ points.mean(axis=0)))]
         near = points @ points[picked[0]]
@@ -120,28 +123,55 @@ def _cluster(idf: np.ndarray):
                 if (nearest == k).any():
                     mean = points[nearest == k].mean(axis=0)
                     centres[k] = mean / max(np.linalg.norm(mean), 1e-9)
-        distance = 1 - (points @ centres.T).max(axis=1)
-        radii = np.zeros(LENGTH_BINS)
-        np.maximum.at(radii, _length_bin(counts), distance)
         lang = table.column("lang")[0].as_py()
-        return pa.table([pa.array([lang] * len(centres), pa.string()), pa.array([c.astype(np.float32).tobytes() for c in centres]),
-                         pa.array([radii.tobytes()] * len(centres))], names=names)
+        return pa.table([pa.array([lang] * len(centres), pa.string()),
+                         pa.array([c.astype(np.float32).tobytes() for c in centres])], names=names)
 
     return run
 
 
+def _distances(model: Model):
+    """Texts to how many of them lie in each cell of distance, per centroid and length."""
+
+    def run(batches):
+        shape = (len(model.langs), LENGTH_BINS, CELLS + 1)
+        seen = np.zeros(int(np.prod(shape)), np.int64)
+        for _, _, counts in _blocks(batches, _FIRST):
+            best, score = model.nearest(counts)
+            cell = np.ceil((1 - score) * CELLS).astype(int)
+            np.add.at(seen, np.ravel_multi_index((best, _length_bin(counts), cell), shape), 1)
+        used = np.flatnonzero(seen)
+        yield pa.record_batch([pa.array(used), pa.array(seen[used])], names=["place", "n"])
+
+    return run
+
+
+def _radii(seen: np.ndarray) -> np.ndarray:
+    """(centroids, lengths) from the counts per centroid, length and cell of distance."""
+    radii = (np.where(seen.any(axis=0), np.arange(seen.shape[2]), 0).max(axis=1)) / CELLS
+    # Shorter texts lie farther off, so a length has at least the radius of all longer ones; what is
+    # longer than every learning text takes the radius of the longest.
+    radii = np.maximum.accumulate(radii[::-1])[::-1]
+    seen_bins = np.flatnonzero(radii)
+    radii[seen_bins[-1] + 1 if len(seen_bins) else 0:] = radii[seen_bins[-1]] if len(seen_bins) else 1.0
+    return np.tile(np.minimum(radii * MARGIN, 1.0), (len(seen), 1))
+
+
 class Model:
-    """Centroids of all languages, idf weights and rejection radii; its size is that of the parameters."""
+    """Centroids of all languages, idf weights and rejection radii per centroid and length; its size is that of the parameters."""
 
     def __init__(self, langs: list[str], centroids: np.ndarray, idf: np.ndarray, radii: np.ndarray):
         self.langs, self.centroids, self.idf, self.radii = langs, centroids, idf, radii
 
-    def predict(self, counts: np.ndarray):
+    def nearest(self, counts: np.ndarray):
         # In doubles, rounded: the sums of a product depend on the rows beside, in the last places.
         cosine = np.round(_vectors(counts, self.idf).astype(np.float64) @ self.centroids.T.astype(np.float64), 9)
         best = cosine.argmax(axis=1)
-        score = np.clip(cosine[np.arange(len(cosine)), best], 0, 1)
-        return [self.langs[b] for b in best], score, (1 - score) > self.radii[_length_bin(counts)]
+        return best, np.clip(cosine[np.arange(len(cosine)), best], 0, 1)
+
+    def predict(self, counts: np.ndarray):
+        best, score = self.nearest(counts)
+        return [self.langs[b] for b in best], score, (1 - score) > self.radii[best, _length_bin(counts)]
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
@@ -159,18 +189,18 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     chance = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("of"))
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     chosen = rows.join(per_lang, "lang").where(draw < chance).select("lang", "text")
-    fitted = (chosen.groupBy("lang").applyInArrow(_cluster(idf), "lang string, centroid binary, radii binary")
-              .orderBy("lang", "centroid").collect())
+    fitted = chosen.groupBy("lang").applyInArrow(_cluster(idf), "lang string, centroid binary").orderBy("lang", "centroid").collect()
     if not fitted:
-        return Model([], np.zeros((0, DIMENSIONS), np.float32), idf, np.zeros(LENGTH_BINS))
-    radii = np.max([np.frombuffer(r["radii"]) for r in fitted], axis=0)
-    # Shorter texts lie farther off, so a length has at least the radius of all longer ones; what is
-    # longer than every learning text takes the radius of the longest.
-    radii = np.maximum.accumulate(radii[::-1])[::-1]
-    seen_bins = np.flatnonzero(radii)
-    radii[seen_bins[-1] + 1 if len(seen_bins) else 0:] = radii[seen_bins[-1]] if len(seen_bins) else 1.0
-    return Model([r["lang"] for r in fitted], np.stack([np.frombuffer(r["centroid"], np.float32) for r in fitted]), idf,
-                 np.minimum(radii * MARGIN, 1.0))
+        return Model([], np.zeros((0, DIMENSIONS), np.float32), idf, np.zeros((0, LENGTH_BINS)))
+    model = Model([r["lang"] for r in fitted], np.stack([np.frombuffer(r["centroid"], np.float32) for r in fitted]), idf,
+                  np.ones((len(fitted), LENGTH_BINS)))
+    # Of all learning texts, not of the sample: a text outside it may lie farther off, or be longer.
+    counted = rows.select("text").mapInArrow(_distances(model), "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n"))
+    seen = np.zeros((len(fitted), LENGTH_BINS, CELLS + 1), np.int64)
+    for r in counted.collect():
+        seen.flat[r["place"]] = r["n"]
+    model.radii = _radii(seen)
+    return model
 
 
 def predict(docs: DataFrame, model: Model, column: str = "text") -> DataFrame:

@@ -77,3 +77,9 @@ def test_query_holds_out_a_quarter(spark, tmp_path):
     lang = {r[0]: r[2] for r in rows}
     assert np.mean([r.lang_pred == lang[r.doc_id] for r in got if r.held_out]) > 0.9
     assert 0.1 < np.mean([r.held_out for r in got]) < 0.4 and pytest.approx(len(rows)) == len(got)
+
+
+def test_texts_outside_the_sample_are_kept(spark):
+    frame = spark.createDataFrame(documents(200), SCHEMA)
+    model = li.fit(frame, sample=6)
+    assert [r.row.doc_id for r in li.predict(frame, model).where("rejected").collect()] == []
