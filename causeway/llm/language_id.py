@@ -4,9 +4,12 @@ A text becomes the counts of its hashed letter n-grams (one to three characters,
 else as one space), damped by a square root, weighted by inverse document frequency and
 normalised. Document frequencies come from all learning documents. The labelled vectors of a
 language are clustered by spherical k-means; a text belongs to the language of the centroid of
-largest cosine. It is rejected when it lies farther from that centroid than the farthest learning
-text of similar or greater length in any language, with a margin. The centroids are fitted on a
-sample; the distances are those of all learning texts, counted in a second pass.
+largest cosine. It is rejected when its cosine is less, by a margin, than that of all but a few of the
+learning texts of that language and of similar or greater length. The centroids are
+fitted on a sample; the distances are those of all learning texts, counted in a second pass. The
+few (``outliers``) neither start or move a centroid nor set a radius, so a few mislabelled or noise texts
+among the labelled ones let in neither themselves nor their like. Where a language has fewer than
+``LEAST_TEXTS`` texts up to a length, none of them counts as odd.
 
 Results for odd input: a text that is null or has no letter gets ``und`` with score 0 and is
 rejected; so does every text if there is nothing to learn from; rows are predicted one by one, so
@@ -15,6 +18,7 @@ repeated rows and null keys make no difference; an empty table gives an empty re
 
 from __future__ import annotations
 
+import math
 import operator
 
 import numpy as np
@@ -33,6 +37,8 @@ LENGTH_BINS = 24
 # Distances are counted in cells of this many to the unit.
 CELLS = 1000
 MARGIN = 1.3
+# A radius is taken from at least this many texts, else those of the next shorter lengths are added.
+LEAST_TEXTS = 36
 UNKNOWN = "und"
 
 _FIRST = operator.methodcaller("column", 0)
@@ -100,6 +106,11 @@ def _length_bin(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(counts.sum(axis=1), 1)).astype(int), LENGTH_BINS - 1)
 
 
+def outliers(n: int) -> int:
+    """How many of n texts may be odd: one in a hundred, more of them where texts are few."""
+    return max(n // 100, math.isqrt(n) // 3)
+
+
 def _cluster(idf: np.ndarray):
     """The labelled texts of one language to its centroids."""
 
@@ -110,17 +121,26 @@ def _cluster(idf: np.ndarray):
         names = ["lang", "centroid"]
         if not len(points):
             return pa.table([pa.array([], pa.string()), pa.array([], pa.binary())], names=names)
-        # Start from texts far apart, then move to the mean directions.
+        # Start from texts far apart, but not the very farthest, then move to the mean directions.
         picked = [int(np.argmax(points @ points.mean(axis=0)))]
         near = points @ points[picked[0]]
         while len(picked) < min(CENTROIDS, len(points)):
-            picked.append(int(np.argmin(near)))
+            place = min(outliers(len(points)), len(points) - len(picked) - 1)
+            picked.append(int(np.argpartition(near, place)[place]))
             near = np.maximum(near, points @ points[picked[-1]])
         centres = points[picked]
+        odd = outliers(len(points))
         for _ in range(ROUNDS):
-            nearest = (points @ centres.T).argmax(axis=1)
+            cosine = points @ centres.T
+            nearest = cosine.argmax(axis=1)
+            nearest[np.argsort(cosine.max(axis=1), kind="stable")[:odd]] = -1
+            of = np.bincount(nearest[nearest >= 0], minlength=len(centres))
             for k in range(len(centres)):
-                if (nearest == k).any():
+                if odd and of[k] <= odd:
+                    # Too few to go by: split off a usual text of the largest cluster instead.
+                    inside = np.flatnonzero(nearest == of.argmax())
+                    centres[k] = points[inside[np.argsort(cosine[inside, of.argmax()], kind="stable")[len(inside) // 2]]]
+                elif of[k]:
                     mean = points[nearest == k].mean(axis=0)
                     centres[k] = mean / max(np.linalg.norm(mean), 1e-9)
         lang = table.column("lang")[0].as_py()
@@ -146,15 +166,29 @@ def _distances(model: Model):
     return run
 
 
-def _radii(seen: np.ndarray) -> np.ndarray:
+def _radius(cells: np.ndarray, at: int) -> float:
+    """The radius of length ``at`` from the counts per length and cell of distance, 0 without counts."""
+    pooled = cells[at].copy()
+    for shorter in range(at - 1, -1, -1):
+        if pooled.sum() >= LEAST_TEXTS:
+            break
+        pooled += cells[shorter]
+    n = int(pooled.sum())
+    return int(np.searchsorted(pooled.cumsum(), n - outliers(n) if n >= LEAST_TEXTS else n)) / CELLS
+
+
+def _radii(seen: np.ndarray, langs: list[str]) -> np.ndarray:
     """(centroids, lengths) from the counts per centroid, length and cell of distance."""
-    radii = (np.where(seen.any(axis=0), np.arange(seen.shape[2]), 0).max(axis=1)) / CELLS
-    # Shorter texts lie farther off, so a length has at least the radius of all longer ones; what is
-    # longer than every learning text takes the radius of the longest.
-    radii = np.maximum.accumulate(radii[::-1])[::-1]
-    seen_bins = np.flatnonzero(radii)
-    radii[seen_bins[-1] + 1 if len(seen_bins) else 0:] = radii[seen_bins[-1]] if len(seen_bins) else 1.0
-    return np.tile(np.minimum(radii * MARGIN, 1.0), (len(seen), 1))
+    radii = np.zeros(seen.shape[:2])
+    for lang in set(langs):
+        of = np.array([name == lang for name in langs])
+        # A language that no learning text comes nearest to takes the radii of all.
+        cells = seen[of].sum(axis=0) if seen[of].any() else seen.sum(axis=0)
+        radii[of] = [_radius(cells, at) for at in range(LENGTH_BINS)]
+    # Shorter texts lie farther off, so a length has at least the radius of all longer ones. The margin
+    # is one of the cosine, so no radius lets in everything.
+    radii = np.maximum.accumulate(radii[:, ::-1], axis=1)[:, ::-1]
+    return np.minimum(1 - (1 - radii) / MARGIN, 1 - 1 / CELLS)
 
 
 class Model:
@@ -199,7 +233,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     seen = np.zeros((len(fitted), LENGTH_BINS, CELLS + 1), np.int64)
     for r in counted.collect():
         seen.flat[r["place"]] = r["n"]
-    model.radii = _radii(seen)
+    model.radii = _radii(seen, model.langs)
     return model
 
 

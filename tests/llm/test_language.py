@@ -83,3 +83,17 @@ def test_texts_outside_the_sample_are_kept(spark):
     frame = spark.createDataFrame(documents(200), SCHEMA)
     model = li.fit(frame, sample=6)
     assert [r.row.doc_id for r in li.predict(frame, model).where("rejected").collect()] == []
+
+
+def test_a_few_odd_labelled_texts_let_nothing_in(spark):
+    rng = random.Random(9)
+    noise = lambda n: " ".join("".join(rng.choice("qxzwvyjk") for _ in range(rng.randint(1, 9))) for _ in range(n))
+    same_script = lambda n: " ".join("".join(rng.choice("zu pof wy xeb".split()) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    clean = documents(200)
+    odd = [(3000 + i, t, "aa", "s", "r", "x") for i, t in enumerate([noise(60), noise(300), "Это другой язык. " * 40])]
+    mislabelled = [(4000 + i, t, "aa", "s", "r", "x") for i, (_, t, lang, *_) in enumerate(clean) if lang == "bb" and len(t) > 400][:2]
+    unlearned = [(5000 + i, same_script(n), None, "s", "r", "x") for i, n in enumerate([20, 60, 300] * 3)]
+    frame = spark.createDataFrame(clean + odd + mislabelled + unlearned, SCHEMA)
+    got = {r.row.doc_id: r for r in li.predict(frame, li.fit(frame)).collect()}
+    assert {d for d, r in got.items() if r.rejected} == {r[0] for r in odd + unlearned}
+    assert all(got[r[0]].lang_pred == "bb" for r in mislabelled)
