@@ -39,7 +39,7 @@ def op3_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    made = line_dedup.dedup_lines(docs)
+    made = line_dedup.dedup_lines(docs, distance=None)
     n_lines = F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n"))).cast("bigint")
     return made.select("doc_id", n_lines.alias("n_lines"), F.length("text").cast("bigint").alias("n_chars"),
                        F.md5(F.col("text").cast("binary")).alias("text_md5"))
