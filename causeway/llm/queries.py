@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 from causeway.llm import (
-    chat_template, hidden_markov, html_text, kdtree_topk, language_id, lattice_dedup, line_dedup, minhash_dedup, mixing,
-    piece_sampling,
+    chat_template, checking_sql, conversation_repair, decontaminate, hidden_markov, html_text, kdtree_topk, language_id, lattice_dedup,
+    line_dedup, minhash_dedup, mixing, piece_sampling, spelling,
 )
 from causeway.llm.common import crc_remainder, table
 from causeway.session import tune
@@ -77,6 +77,22 @@ def op10_kdtree(spark: SparkSession, folder: str) -> DataFrame:
     return kdtree_topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants_of(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+def op12_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = decontaminate.find(docs, table(spark, folder, "benchmark"))
+    return found.select("row.doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+                        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation_repair.audit(conversation_repair.damage(rows), rows)
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
 
@@ -87,7 +103,7 @@ def _tuned(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 
 QUERIES = {q.__name__: _tuned(q) for q in (
     op1_minhash, op2_mixing, op3_pieces, op4_line_dedup, op5_language, op6_hidden_markov, op7_lattice, op8_chat, op9_html,
-    op10_kdtree, pipeline)}
+    op10_kdtree, op11_spelling, op12_decontamination, op13_conversation_repair, pipeline)}
 
 _MIXING_SQL = """
 WITH d AS (
@@ -175,4 +191,7 @@ ORACLES = {
     "op7_lattice": _LATTICE_SQL,
     "op8_chat": _CHAT_SQL,
     "op10_kdtree": _TOPK_SQL,
+    "op11_spelling": checking_sql.SPELLING,
+    "op12_decontamination": checking_sql.LEAKS,
+    "op13_conversation_repair": checking_sql.REPAIR,
 }
