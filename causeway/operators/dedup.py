@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from causeway.operators.ordered import RANGE, range_blocks, with_earlier_max
 from causeway.session import Scratch
 
 TTL_HOURS = 24
@@ -17,31 +18,51 @@ def accepted_copies(events: DataFrame, scratch: Scratch, ttl_hours: int = TTL_HO
     """(arrival, idempotency_key, ingested_at, expires_at) of every copy that is stored.
 
     The first copy is stored; a later one only when it comes ``ttl_hours`` or more
-    after the last stored one. Each round finds the next stored copy of every key
-    that still has candidates, so the number of rounds is the number of days a key
-    keeps coming back, and a key of any size is combined before it is shuffled.
+    after the last stored one. A key whose copies all lie within that time ends with one
+    combining aggregation. For the others each copy is linked to the first one that much later, and
+    the links are followed from the first copy on in doubled jumps, so a key with n stored
+    copies takes log n rounds, and its copies are never brought together.
     """
-    rest = events.select("idempotency_key", "arrival", "ingested_at")
-    first = F.min(F.struct("ingested_at", "arrival")).alias("kept")
-    rounds: list[DataFrame] = []
+    moments = scratch.cut(events.groupBy("idempotency_key", "ingested_at").agg(F.min("arrival").alias("arrival")))
+    ends = moments.groupBy("idempotency_key").agg(
+        F.min(F.struct("ingested_at", "arrival")).alias("first"), F.max("ingested_at").alias("last"))
+    ends = scratch.cut(ends)
+    firsts = ends.select("idempotency_key", "first.*")
+    again = ends.filter(F.col("last") >= _later(F.col("first.ingested_at"), ttl_hours))
+    kept = firsts.select("idempotency_key", "ingested_at", "arrival")
+    if not again.isEmpty():
+        often = moments.join(again.select("idempotency_key"), "idempotency_key", "left_semi")
+        links = scratch.cut(next_copies(often, scratch, ttl_hours))
+        later = _followed(again.select("first.arrival"), links, scratch)
+        kept = kept.unionByName(often.join(later, "arrival", "left_semi").select(*kept.columns))
+    return kept.select(
+        "idempotency_key", "arrival", "ingested_at", _later(F.col("ingested_at"), ttl_hours).alias("expires_at"))
+
+
+def next_copies(moments: DataFrame, scratch: Scratch, ttl_hours: int = TTL_HOURS) -> DataFrame:
+    """(arrival, following): of each copy the first copy of its key that is ``ttl_hours`` or more later.
+
+    Copies, and the moments they reach to, are gone through from the newest on; the last copy met is the answer.
+    """
+    copies = moments.select("idempotency_key", (-F.unix_micros("ingested_at")).alias("back"), F.lit(0).alias("kind"), "arrival")
+    reach = moments.select("idempotency_key", (-F.unix_micros(_later(F.col("ingested_at"), ttl_hours))).alias("back"), F.lit(1).alias("kind"), "arrival")
+    key, order = ["idempotency_key"], ["back", "kind", "arrival"]
+    ranged = range_blocks(copies.unionByName(reach), key, order, scratch)
+    value = F.when(F.col("kind") == 0, F.struct("back", (-F.col("arrival")).alias("minus")))
+    met = with_earlier_max(ranged, key, order, F.col(RANGE), value, "met")
+    return met.filter("kind = 1 AND met IS NOT NULL").select("arrival", (-F.col("met.minus")).alias("following"))
+
+
+def _followed(starts: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(arrival) of what the links (arrival, following) lead to from the starts, in doubled jumps."""
+    reached, jump = starts, links
     while True:
-        kept = scratch.cut(rest.groupBy("idempotency_key").agg(first))
-        rounds.append(kept)
-        later = rest.join(kept, "idempotency_key").filter(
-            F.col("ingested_at") >= _later(F.col("kept.ingested_at"), ttl_hours)
-        )
-        rest = scratch.cut(later.select("idempotency_key", "arrival", "ingested_at"))
-        if rest.isEmpty():
-            break
-    result = rounds[0]
-    for more in rounds[1:]:
-        result = result.unionByName(more)
-    return result.select(
-        "idempotency_key",
-        "kept.arrival",
-        "kept.ingested_at",
-        _later(F.col("kept.ingested_at"), ttl_hours).alias("expires_at"),
-    )
+        ahead = scratch.cut(reached.join(jump, "arrival").select(F.col("following").alias("arrival")))
+        if ahead.isEmpty():
+            return reached.join(starts, "arrival", "left_anti")
+        reached = scratch.cut(reached.union(ahead))
+        onward = jump.select(F.col("arrival").alias("following"), F.col("following").alias("beyond"))
+        jump = scratch.cut(jump.join(onward, "following").select("arrival", F.col("beyond").alias("following")))
 
 
 def drop_duplicates(events: DataFrame, scratch: Scratch, ttl_hours: int = TTL_HOURS) -> DataFrame:

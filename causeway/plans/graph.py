@@ -81,19 +81,46 @@ def reachable(steps: Steps, starts: DataFrame, scratch: Scratch, max_depth: int
     return union_all(levels)
 
 
+def closure(steps: Steps, scratch: Scratch, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """``reachable`` from all written datasets at once, by doubling.
+
+    The pairs at a distance of exactly k, continued by pairs up to distance k, give those up to 2 k: every
+    shortest path that is longer than k has its k-th dataset at distance k. So the rounds are
+    log2(max_depth), and every intermediate row is a row of the result.
+    """
+    origins = steps.outputs.select("dataset_urn").distinct()
+    reading = steps.inputs.join(origins, "dataset_urn", "left_semi").select(F.col("dataset_urn").alias("origin"), "run_id")
+    hops = reading.join(steps.outputs.withColumnRenamed("dataset_urn", "node"), "run_id").filter(F.col("origin") != F.col("node"))
+    found, reach = scratch.cut(hops.select("origin", "node").distinct().withColumn("depth", F.lit(1))), 1
+    while reach < max_depth:
+        step = min(reach, max_depth - reach)
+        ends = found.filter(F.col("depth") == reach).select("origin", F.col("node").alias("middle"))
+        onward = found.filter(F.col("depth") <= step).select(F.col("origin").alias("middle"), "node", (F.col("depth") + reach).alias("depth"))
+        longer = ends.join(onward, "middle").filter(F.col("origin") != F.col("node")).select("origin", "node", "depth")
+        before, reach = reach, reach + step
+        found = scratch.cut(found.unionByName(longer).groupBy("origin", "node").agg(F.min("depth").alias("depth")))
+        if found.filter(F.col("depth") > before).isEmpty():
+            break
+    itself = origins.select(F.col("dataset_urn").alias("origin"), F.col("dataset_urn").alias("node"), F.lit(0).alias("depth"))
+    return itself.unionByName(found)
+
+
 def impact(tables: Tables, scratch: Scratch, runs: DataFrame | None = None, max_depth: int = MAX_DEPTH) -> DataFrame:
     """The impact view: each dataset downstream of each run with its least depth (outputs have depth 0).
 
     Datasets are expanded once each and runs joined afterwards, so runs that write the
-    same dataset share the work. ``runs`` limits the starting points.
+    same dataset share the work. ``runs`` limits the starting points, which are then followed level by level.
     """
     edges = scratch.cut(known_edges(tables))
-    outputs = edges.filter("edge_type = 'output'").select("run_id", F.col("dataset_urn").alias("origin"))
-    if runs is not None:
+    steps = run_steps(edges)
+    outputs = steps.outputs.select("run_id", F.col("dataset_urn").alias("origin"))
+    if runs is None:
+        pairs = closure(steps, scratch, max_depth)
+    else:
         outputs = outputs.join(runs.select("run_id").distinct(), "run_id", "left_semi")
-    closure = reachable(run_steps(edges), outputs.select(F.col("origin").alias("dataset_urn")), scratch, max_depth)
+        pairs = reachable(steps, outputs.select(F.col("origin").alias("dataset_urn")), scratch, max_depth)
     per_run = (
-        outputs.join(closure, "origin")
+        outputs.join(pairs, "origin")
         .groupBy("run_id", F.col("node").alias("dataset_urn"))
         .agg(F.min("depth").alias("depth"))
     )
@@ -214,31 +241,54 @@ def upstream_trees(tables: Tables, scratch: Scratch, starts: DataFrame, max_dept
     )
 
 
-def orchestration_chains(tables: Tables, scratch: Scratch, runs: DataFrame | None = None,
-                         max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Ancestors of each run: depth 1 is the parent; a missing parent ends the chain.
+def ancestors(links: DataFrame, scratch: Scratch, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """(run_id, ancestor_run_id, depth) of all runs, by path doubling over links (run_id, parent_run_id).
 
-    (run_id, ancestor_run_id, depth, job_name, job_namespace, producer_name, status)
+    The ancestors up to depth k of the ancestor at depth k are those up to 2 k: log2(max_depth) joins.
     """
-    links = scratch.cut(
-        tables.runs.select("run_id", "parent_run_id", "job_name", "job_namespace", "producer_name", "current_state")
-    )
-    nodes = links.select(
-        F.col("run_id").alias("ancestor_run_id"), F.col("parent_run_id").alias("next_run_id"), "job_name",
-        "job_namespace", "producer_name", F.col("current_state").alias("status"),
-    )
-    start = links if runs is None else links.join(runs.select("run_id").distinct(), "run_id", "left_semi")
-    frontier = start.filter(F.col("parent_run_id").isNotNull()).select("run_id", F.col("parent_run_id").alias("ancestor_run_id"))
+    stored = links.select(F.col("run_id").alias("parent_run_id"))
+    parents = links.select("run_id", "parent_run_id").filter("parent_run_id IS NOT NULL").join(stored, "parent_run_id", "left_semi")
+    found = scratch.cut(parents.select("run_id", F.col("parent_run_id").alias("ancestor_run_id"), F.lit(1).alias("depth")))
+    reach = 1
+    while reach < max_depth:
+        step = min(reach, max_depth - reach)
+        ends = found.filter(F.col("depth") == reach).select("run_id", F.col("ancestor_run_id").alias("middle"))
+        onward = found.filter(F.col("depth") <= step).select(
+            F.col("run_id").alias("middle"), "ancestor_run_id", (F.col("depth") + reach).alias("depth"))
+        longer = scratch.cut(ends.join(onward, "middle").select("run_id", "ancestor_run_id", "depth"))
+        if longer.isEmpty():
+            break
+        found, reach = found.unionByName(longer), reach + step
+    return found
+
+
+def _ancestors_of(runs: DataFrame, links: DataFrame, scratch: Scratch, max_depth: int) -> DataFrame:
+    """``ancestors`` of some runs only, one level after the other."""
+    nodes = links.select(F.col("run_id").alias("ancestor_run_id"), F.col("parent_run_id").alias("next_run_id"))
+    start = links.join(runs.select("run_id").distinct(), "run_id", "left_semi")
+    frontier = start.select("run_id", F.col("parent_run_id").alias("ancestor_run_id"))
     levels = []
     for depth in range(1, max_depth + 1):
-        level = scratch.cut(frontier.join(nodes, "ancestor_run_id"))
+        level = scratch.cut(frontier.filter("ancestor_run_id IS NOT NULL").join(nodes, "ancestor_run_id").withColumn("depth", F.lit(depth)))
+        levels.append(level.select("run_id", "ancestor_run_id", "depth"))
         if level.isEmpty():
             break
-        levels.append(level.withColumn("depth", F.lit(depth)))
-        frontier = level.filter(F.col("next_run_id").isNotNull()).select("run_id", F.col("next_run_id").alias("ancestor_run_id"))
-    if not levels:
-        return frontier.join(nodes, "ancestor_run_id").withColumn("depth", F.lit(1)).drop("next_run_id").limit(0)
-    return union_all(levels).drop("next_run_id")
+        frontier = level.select("run_id", F.col("next_run_id").alias("ancestor_run_id"))
+    return union_all(levels)
+
+
+def orchestration_chains(tables: Tables, scratch: Scratch, runs: DataFrame | None = None,
+                         max_depth: int = MAX_DEPTH) -> DataFrame:
+    """Ancestors of each run: depth 1 is the parent; a missing parent ends the chain.
+
+    (run_id, ancestor_run_id, depth, job_name, job_namespace, producer_name, status)
+    """
+    links = tables.runs.select("run_id", "parent_run_id")
+    found = ancestors(scratch.cut(links), scratch, max_depth) if runs is None else _ancestors_of(runs, links, scratch, max_depth)
+    nodes = tables.runs.select(
+        F.col("run_id").alias("ancestor_run_id"), "job_name", "job_namespace", "producer_name", F.col("current_state").alias("status"))
+    return found.join(nodes, "ancestor_run_id").select(
+        "ancestor_run_id", "run_id", "job_name", "job_namespace", "producer_name", "status", "depth")
 
 
 def chain_levels(tables: Tables, chains: DataFrame) -> DataFrame:

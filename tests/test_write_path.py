@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from causeway.session import Scratch
 from causeway.operators import dedup, ordered, resolution, runs, validation
 from causeway.operators.ingest import ingest
 from causeway.sources import events as event_source
@@ -297,3 +298,29 @@ def test_a_write_that_fails_changes_nothing(spark, scratch, tmp_path):
     with pytest.raises(Exception):
         table.merge(rows, lambda old, new: broken, scratch)
     assert {r.v for r in table.read().collect()} == {"old"} and table.read().count() == 20
+
+
+def test_a_key_that_comes_back_every_day_for_three_years(spark, scratch):
+    """Links are followed in doubled jumps: at most twelve rounds, however many days."""
+    rng = random.Random(5)
+    hours = [24 * day for day in range(1096)] + [24 * day + 5 for day in range(0, 1096, 3)]
+    rows = [("daily", i, T0 + dt.timedelta(hours=h)) for i, h in enumerate(hours)]
+    for key in ("a", "b", "c"):
+        rows += [(key, 10_000 + len(rows) + i, T0 + dt.timedelta(minutes=rng.randrange(20_000))) for i in range(60)]
+    rows += [("same", 90_000 + i, T0) for i in range(5)] + [("same", 99_000, T0 + dt.timedelta(hours=24))]
+    kept, last = set(), {}
+    for key, arrival, time in sorted(rows, key=lambda r: (r[2], r[1])):
+        if key not in last or time >= last[key] + dt.timedelta(hours=24):
+            kept.add(arrival)
+            last[key] = time
+    rounds = []
+    counted = Scratch(spark)
+    followed, dedup._followed = dedup._followed, lambda *args: rounds.append(counted._count) or followed(*args)
+    try:
+        frame = spark.createDataFrame(rows, "idempotency_key string, arrival long, ingested_at timestamp")
+        got = {r.arrival for r in dedup.accepted_copies(frame, counted).collect()}
+    finally:
+        dedup._followed = followed
+    assert got == kept and len([a for a in kept if a < 1096]) == 1096
+    assert (counted._count - rounds[0]) / 3 <= 12  # a round writes three tables
+    counted.drop()
