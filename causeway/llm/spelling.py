@@ -30,16 +30,18 @@ empty and may hold further columns, also with the names used here.
 
 from __future__ import annotations
 
+import heapq
 import math
+import os
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from causeway.llm.common import Work
+from causeway.llm.common import MIX, Work, mixed
 
 TIMES = 5
 LEAST_LENGTH = 6
@@ -49,6 +51,10 @@ DAMAGED = 199
 GRAMS = 1 << 16
 # Distinct words counted in a task before the counts are sent on.
 COUNTED = 1 << 18
+# Code points from which on a word does not go along with its keys.
+LONG = 64
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 # Code points that can be part of a word, as bytes of Latin-1: letters A-Z become a-z, all others a space.
 _LETTERS = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c >= 0xC0 else 0x20 for c in range(256))
@@ -96,8 +102,26 @@ def count_words(docs: DataFrame, key: str = "doc_id", column: str = "text", modu
     return slim.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def bigrams(word: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(word) - 1, F.lit(1))), lambda i: F.substring(word, i, F.lit(2)))
+def count_bigrams(words: DataFrame) -> DataFrame:
+    """(gram, n): the number of words that hold each bigram."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: Counter[str] = Counter()
+            for word in batch.column(0):
+                word = word.as_py()
+                counts.update({word[i:i + 2] for i in range(len(word) - 1)})
+            yield pa.record_batch([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["gram", "n"])
+
+    return words.select("word").mapInArrow(run, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def one_edit(a: str, b: str) -> bool:
+    """Exactly one code point inserted, deleted or replaced: what follows the first difference is equal."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = len(os.path.commonprefix([a, b]))
+    return at < len(b) and (a[at + 1:] if len(a) == len(b) else a[at:]) == b[at + 1:]
 
 
 def choose_pivots(places: list[int], costs: list[int]) -> tuple[int, int]:
@@ -120,7 +144,7 @@ def _grams(word: str, seen: dict[str, int]) -> tuple[list[int], tuple[int, int],
     """Places of the prefix, indices of the pivots in it, and the order of the prefix's last bigram."""
     cut = [word[i:i + 2] for i in range(len(word) - 1)]
     order = [(seen.get(g, 0), g) for g in cut]
-    last = sorted(order)[2]
+    last = heapq.nsmallest(3, order)[2]
     places = [i for i, o in enumerate(order) if o <= last]
     return places, choose_pivots(places, [order[i][0] for i in places]), last
 
@@ -181,19 +205,99 @@ def _keyed(words: DataFrame, seen: dict[str, int]) -> DataFrame:
     return words.select("word", "n").mapInArrow(run, "key bigint, pivot boolean, word string, n bigint, last string")
 
 
-def near_words(words: DataFrame, work: Work) -> DataFrame:
-    """Distinct pairs (a, na, b, nb) with a < b of the words (word, n) that differ by one edit.
+def _long_keys(word: str, places: np.ndarray, rests: np.ndarray, lefts: np.ndarray) -> np.ndarray:
+    """Hashes of the keys at ``places``, for words whose keys are too long to be written out.
 
-    Words must be distinct. Those of less than four code points have not the three bigrams and are near to none.
+    Of the edited side, which the other word has ``rests`` long to the right and ``lefts`` to the left, half must agree.
+    Hashes of stretches are differences of one running sum, so each key takes the same time.
     """
-    words = words.where(F.length("word") >= 4)
-    grams = words.select(F.explode(F.array_distinct(bigrams(F.col("word")))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    seen = {r["gram"]: r["n"] for r in grams.orderBy(F.desc("n"), "gram").limit(GRAMS).collect()}
+    points = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    size = len(points)
+    with np.errstate(over="ignore"):
+        power = np.cumprod(np.concatenate(([np.uint64(1)], np.full(size, _BASE))))
+        inverse = np.cumprod(np.concatenate(([np.uint64(1)], np.full(size, _BASE_INVERSE))))
+        total = np.concatenate(([np.uint64(0)], np.cumsum((points + np.uint64(1)) * power[:-1])))
+
+        def stretch(begin, end):
+            return mixed((total[end] - total[begin]) * inverse[begin])
+
+        def key(kind, place, *hashes):
+            found = mixed(place.astype(np.uint64) * MIX + np.uint64(kind))
+            for h in hashes:
+                found = mixed(found * MIX + h)
+            return found
+
+        start, end, last = np.zeros_like(places), places + 2, np.full_like(places, size)
+        inner, outer = rests // 2, rests - rests // 2
+        right = (rests >= 0) & (inner <= size - end), (rests >= 0) & (outer <= size - end)
+        near, far = lefts // 2, lefts - lefts // 2
+        left = (lefts >= 0) & (near <= places), (lefts >= 0) & (far <= places)
+        made = []
+        for kind, fits, place, stretches in (
+                (1, right[0], places, ((start, end + inner),)), (2, right[1], end, ((start, end), (last - outer, last))),
+                (3, left[0], last - places, ((places - near, last),)), (4, left[1], last - places, ((start, far), (places, last)))):
+            made.append(key(kind, place[fits], *[stretch(a[fits], b[fits]) for a, b in stretches]))
+    return np.unique(np.concatenate(made))
+
+
+def _keyed_long(words: DataFrame, seen: dict[str, int]) -> DataFrame:
+    """(key, pivot, id, size, last) of long words; their texts do not go along."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for id_, word in zip(batch.column(0).to_pylist(), batch.column(1)):
+                word = word.as_py()
+                places, chosen, last = _grams(word, seen)
+                places = np.array(places, np.int64)
+                pivots = places[list(chosen)]
+                own = _long_keys(word, pivots, len(word) - pivots - 2, pivots)
+                shifts = [(places, len(word) - places - 2 + d, places + d) for d in (-1, 0, 1)]
+                sought = np.unique(np.concatenate([_long_keys(word, *s) for s in shifts]))
+                n = len(own) + len(sought)
+                yield pa.record_batch(
+                    [pa.array(np.concatenate((own, sought)).view(np.int64)), pa.array(np.arange(n) < len(own)), pa.array([id_] * n, pa.int64()),
+                     pa.array([len(word)] * n, pa.int64()), pa.array([f"{last[0]:020d}{last[1]}"] * n, pa.string())],
+                    names=["key", "pivot", "id", "size", "last"])
+
+    return words.select("id", "word").mapInArrow(run, "key bigint, pivot boolean, id bigint, size bigint, last string")
+
+
+def _met(words: DataFrame, seen: dict[str, int], work: Work) -> DataFrame:
+    """(p, np, q, nq) of words of usual length: they go along with their keys and are verified where they meet."""
     keyed = work.cut(_keyed(words, seen))
     pivots = keyed.where("pivot").select("key", F.col("word").alias("p"), F.col("n").alias("np"), F.col("last").alias("lp"))
     prefixes = keyed.where("NOT pivot").select("key", F.col("word").alias("q"), F.col("n").alias("nq"), F.col("last").alias("lq"))
     met = pivots.join(prefixes, "key").where("lp <= lq AND p <> q AND abs(length(p) - length(q)) <= 1")
-    met = met.where(F.levenshtein("p", "q", 1) == 1)
+    return met.where(F.levenshtein("p", "q", 1) == 1).select("p", "np", "q", "nq")
+
+
+def _met_long(words: DataFrame, seen: dict[str, int], work: Work) -> DataFrame:
+    """(p, np, q, nq) of long words: numbers meet, the words are fetched for the pairs to verify."""
+    words = words.withColumn("id", F.xxhash64("word"))
+    keyed = work.cut(_keyed_long(words, seen))
+    pivots = keyed.where("pivot").select("key", F.col("id").alias("i"), F.col("size").alias("si"), F.col("last").alias("li"))
+    prefixes = keyed.where("NOT pivot").select("key", F.col("id").alias("j"), F.col("size").alias("sj"), F.col("last").alias("lj"))
+    met = pivots.join(prefixes, "key").where("li <= lj AND i <> j AND abs(si - sj) <= 1").select("i", "j").distinct()
+    for id_, word, n in (("i", "p", "np"), ("j", "q", "nq")):
+        met = met.join(words.select(F.col("id").alias(id_), F.col("word").alias(word), F.col("n").alias(n)), id_)
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([one_edit(p.as_py(), q.as_py()) for p, q in zip(batch.column(0), batch.column(2))], pa.bool_()))
+
+    return met.select("p", "np", "q", "nq").mapInArrow(verified, "p string, np bigint, q string, nq bigint")
+
+
+def near_words(words: DataFrame, work: Work) -> DataFrame:
+    """Distinct pairs (a, na, b, nb) with a < b of the words (word, n) that differ by one edit.
+
+    Words must be distinct. Those of less than four code points have not the three bigrams and are near to none.
+    """
+    words = words.where(F.length("word") >= 4)
+    seen = {r["gram"]: r["n"] for r in count_bigrams(words).orderBy(F.desc("n"), "gram").limit(GRAMS).collect()}
+    # Words at the border of both lengths go both ways, so that they meet those on either side.
+    met = _met(words.where(F.length("word") <= LONG), seen, work)
+    met = met.union(_met_long(words.where(F.length("word") >= LONG), seen, work))
     return met.select(F.least("p", "q").alias("a"), F.when(F.col("p") < F.col("q"), F.col("np")).otherwise(F.col("nq")).alias("na"),
                       F.greatest("p", "q").alias("b"), F.when(F.col("p") < F.col("q"), F.col("nq")).otherwise(F.col("np")).alias("nb")).distinct()
 
