@@ -63,6 +63,19 @@ def known_edges(tables: Tables) -> DataFrame:
     )
 
 
+def reached(steps: Steps, starts: DataFrame, scratch: Scratch, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """(node): the datasets at most ``max_depth`` steps from any of the starts (dataset_urn), these included."""
+    frontier = scratch.cut(starts.select(F.col("dataset_urn").alias("node")).distinct())
+    seen = frontier
+    for _ in range(max_depth):
+        found = steps.follow(frontier, []).withColumnRenamed("next", "node")
+        frontier = scratch.cut(found.join(seen, "node", "left_anti"))
+        if frontier.isEmpty():
+            break
+        seen = seen.union(frontier)
+    return seen
+
+
 def reachable(steps: Steps, starts: DataFrame, scratch: Scratch, max_depth: int = MAX_DEPTH) -> DataFrame:
     """(origin, node, depth): the least number of steps from each origin dataset, 0 for itself.
 

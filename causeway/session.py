@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,10 +64,15 @@ class Scratch:
         self._spark = spark
         self.root = f"{shared_dir(spark)}/causeway-{uuid.uuid4().hex}"
         self._count = 0
+        self._lock = threading.Lock()
+
+    def _path(self) -> str:
+        with self._lock:
+            self._count += 1
+            return f"{self.root}/{self._count - 1}"
 
     def cut(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{self._count}"
-        self._count += 1
+        path = self._path()
         df.write.parquet(path)
         return self._spark.read.schema(df.schema).parquet(path)
 

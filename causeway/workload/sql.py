@@ -1,4 +1,7 @@
-"""Intermediate tables of the checking SQL, each a CTE that ``compose`` adds where it is used."""
+"""Intermediate tables of the checking SQL, each a CTE that ``compose`` adds where it is used.
+
+The names of columns are those of the stored tables and of the reports, which both sides must give.
+"""
 
 from __future__ import annotations
 
@@ -253,9 +256,44 @@ CTES["copies_ev"] = "SELECT *, row_number() OVER (PARTITION BY idempotency_key O
 CTES["taken_ev"] = CTES["taken"].replace("copies", "copies_ev").replace("taken t", "taken_ev t")
 # The same steps for messages of a stream, where no sequences are checked.
 CTES["checked_k"] = f"SELECT *, {REASON} AS reject_reason FROM ev"
-_STREAM_STEPS = ("ranked", "walk", "copies", "taken", "stored", "dsets", "ment")
+_STREAM_STEPS = ("ranked", "walk", "copies", "taken", "stored", "dsets", "ment", "facet_rows", "asserted", "tests_found", "tests_named")
+
+
+def on_stream(text: str, names: tuple[str, ...] = (*_STREAM_STEPS, "checked")) -> str:
+    """A text over the stream's versions of the named relations."""
+    return re.sub(rf"\b({'|'.join(names)})\b", r"\1_k", text)
+
+
 for _step in _STREAM_STEPS:
-    CTES[f"{_step}_k"] = re.sub(rf"\b({'|'.join((*_STREAM_STEPS, 'checked'))})\b", r"\1_k", CTES[_step])
+    CTES[f"{_step}_k"] = on_stream(CTES[_step])
+
+RUNS_FOLD = f"""SELECT s.run_id, arg_min(trim(j->>'$.job.name'), s.arrival) AS job_name, arg_min(job_namespace, s.arrival) AS job_namespace,
+  arg_max(event_type, (event_time, -s.arrival)) AS current_state, max(event_time) AS event_time, arg_min(event_time, s.arrival) AS started_at,
+  CASE WHEN arg_max(event_type, (event_time, -s.arrival)) IN {TERMINAL} THEN max(event_time) END AS completed_at,
+  arg_max(parent_id, s.arrival) FILTER (WHERE parent_id <> '') AS parent_run_id,
+  arg_max(root_id, s.arrival) FILTER (WHERE root_id <> '') AS root_parent_run_id,
+  {producer_name('arg_min(producer, s.arrival)')} AS producer_name,
+  coalesce(arg_max(v, s.arrival) FILTER (WHERE v <> ''), '') AS producer_version
+  FROM (SELECT *, {producer_version('producer')} AS v FROM stored) s GROUP BY s.run_id"""
+DATASETS_FOLD = """SELECT dataset_urn, arg_min(name, (arrival, p)) AS name, arg_min(namespace, (arrival, p)) AS namespace,
+  arg_max(run_id, (arrival, p)) FILTER (WHERE edge_type = 'output') AS last_producing_run_id FROM ment GROUP BY dataset_urn"""
+FACETS_FOLD = """SELECT DISTINCT ON (dataset_urn, facet) dataset_urn, facet, value FROM facet_rows
+  ORDER BY dataset_urn, facet, arrival DESC, p DESC"""
+EDGES_FOLD = "SELECT DISTINCT run_id, dataset_urn, CASE WHEN edge_type = 'output' THEN 'output' ELSE 'input' END AS edge_type FROM ment"
+TESTS_FOLD = """SELECT DISTINCT ON (test_name, dataset_urn, run_id) md5(concat(test_name, chr(31), dataset_urn, chr(31), run_id)) AS test_result_id,
+  test_name, dataset_urn, run_id, test_type, status, metadata, executed_at, producer_name, producer_version, arrival FROM tests_named
+  ORDER BY test_name, dataset_urn, run_id, arrival DESC, p DESC, rank DESC, ap DESC"""
+HISTORY_FOLD = """SELECT x.run_id, x.arrival, prev AS from_state, st AS to_state, tm AS event_time, r.ingested_at AS updated_at FROM
+  (SELECT run_id, arrival, st, tm, n, lag(st) OVER (PARTITION BY run_id ORDER BY n) AS prev FROM walk) x
+  JOIN ranked r ON r.arrival = x.arrival WHERE prev IS NULL OR prev <> st"""
+# The tables that a stream leaves, and the reports over them.
+CTES["runs_k"] = f"SELECT *, current_state AS event_type FROM ({on_stream(RUNS_FOLD)}) r"
+CTES["datasets_k"] = on_stream(DATASETS_FOLD)
+CTES["edges_k"] = on_stream(EDGES_FOLD)
+CTES["tests_k"] = f"SELECT *, CAST(NULL AS VARCHAR) AS message, CAST(NULL AS INTEGER) AS duration_ms FROM ({on_stream(TESTS_FOLD)}) t"
+_REPORT_STEPS = ("rd", "run_rows", "written", "broken", "icv_all", "hops", "reach", "impact")
+for _step in _REPORT_STEPS:
+    CTES[f"{_step}_k"] = on_stream(CTES[_step], (*_REPORT_STEPS, "runs", "datasets", "edges", "tests"))
 
 
 def compose(body: str) -> str:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from causeway.operators import dedup, resolution, runs, tables, validation
 from causeway.plans import incidents
 from causeway.workload.registry import Given, query
-from causeway.workload import sql
+from causeway.sources.table_store import ExpiringKeys
+from causeway.workload import given, sql
 
 _OUTCOMES = """SELECT c.batch_id, c.arrival, CASE WHEN c.reject_reason IS NOT NULL OR w.refused THEN 'rejected' WHEN t.kept THEN 'stored'
   ELSE 'duplicate' END AS outcome FROM checked c LEFT JOIN walk w ON c.arrival = w.arrival AND c.reject_reason IS NULL
@@ -22,17 +26,7 @@ def batch_summary(g: Given):
     return validation.batch_summary(g.ingested.outcomes)
 
 
-_RUNS = f"""SELECT s.run_id, arg_min(trim(j->>'$.job.name'), s.arrival) AS job_name, arg_min(job_namespace, s.arrival) AS job_namespace,
-  arg_max(event_type, (event_time, -s.arrival)) AS current_state, max(event_time) AS event_time, arg_min(event_time, s.arrival) AS started_at,
-  CASE WHEN arg_max(event_type, (event_time, -s.arrival)) IN {sql.TERMINAL} THEN max(event_time) END AS completed_at,
-  arg_max(parent_id, s.arrival) FILTER (WHERE parent_id <> '') AS parent_run_id,
-  arg_max(root_id, s.arrival) FILTER (WHERE root_id <> '') AS root_parent_run_id,
-  {sql.producer_name('arg_min(producer, s.arrival)')} AS producer_name,
-  coalesce(arg_max(v, s.arrival) FILTER (WHERE v <> ''), '') AS producer_version
-  FROM (SELECT *, {sql.producer_version('producer')} AS v FROM stored) s GROUP BY s.run_id"""
-
-
-@query("j1_run_upsert", f"SELECT r.* EXCLUDE (current_state), w.st AS current_state FROM ({_RUNS}) r JOIN "
+@query("j1_run_upsert", f"SELECT r.* EXCLUDE (current_state), w.st AS current_state FROM ({sql.RUNS_FOLD}) r JOIN "
        "(SELECT run_id, arg_max(st, n) AS st FROM walk GROUP BY run_id) w ON r.run_id = w.run_id")
 def run_upsert(g: Given):
     return g.ingested.tables.runs.drop("metadata", "event_type")
@@ -44,20 +38,17 @@ def refused(g: Given):
     return runs.refused_events(checked.filter("reject_reason IS NULL"))
 
 
-@query("j3_state_history", """SELECT run_id, arrival, prev AS from_state, st AS to_state, tm AS event_time FROM
-  (SELECT run_id, arrival, st, tm, n, lag(st) OVER (PARTITION BY run_id ORDER BY n) AS prev FROM walk) x WHERE prev IS NULL OR prev <> st""")
+@query("j3_state_history", sql.HISTORY_FOLD)
 def state_history(g: Given):
-    return runs.state_changes(g.ingested.stored).drop("updated_at")
+    return runs.state_changes(g.ingested.stored)
 
 
-@query("j4_produced_facets", """SELECT DISTINCT ON (dataset_urn, facet) dataset_urn, facet, value FROM facet_rows
-  ORDER BY dataset_urn, facet, arrival DESC, p DESC""")
+@query("j4_produced_facets", sql.FACETS_FOLD)
 def produced_facets(g: Given):
     return tables.fold_facets(g.ingested.stored)
 
 
-@query("j5_datasets", """SELECT dataset_urn, arg_min(name, (arrival, p)) AS name, arg_min(namespace, (arrival, p)) AS namespace,
-  arg_max(run_id, (arrival, p)) FILTER (WHERE edge_type = 'output') AS last_producing_run_id FROM ment GROUP BY dataset_urn""")
+@query("j5_datasets", sql.DATASETS_FOLD)
 def datasets(g: Given):
     return g.ingested.tables.datasets.drop("facets")
 
@@ -75,7 +66,7 @@ def bare_datasets(g: Given):
     )
 
 
-@query("j7_edges", "SELECT DISTINCT run_id, dataset_urn, CASE WHEN edge_type = 'output' THEN 'output' ELSE 'input' END AS edge_type FROM ment")
+@query("j7_edges", sql.EDGES_FOLD)
 def edges(g: Given):
     return g.ingested.tables.edges
 
@@ -93,12 +84,7 @@ def _flat(metadata):
     return F.array_join(F.transform(F.map_entries(metadata), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
 
 
-_LAST_TESTS = """SELECT DISTINCT ON (test_name, dataset_urn, run_id) md5(concat(test_name, chr(31), dataset_urn, chr(31), run_id)) AS test_result_id,
-  test_name, dataset_urn, run_id, test_type, status, metadata, executed_at, arrival FROM tests_named
-  ORDER BY test_name, dataset_urn, run_id, arrival DESC, p DESC, rank DESC, ap DESC"""
-
-
-@query("j9_test_upsert", _LAST_TESTS)
+@query("j9_test_upsert", f"SELECT * EXCLUDE (producer_name, producer_version) FROM ({sql.TESTS_FOLD}) t")
 def test_upsert(g: Given):
     return g.ingested.tables.tests.withColumn("metadata", _flat(F.col("metadata"))).select(
         "test_result_id", "test_name", "dataset_urn", "run_id", "test_type", "status", "metadata", "executed_at", "arrival"
@@ -117,11 +103,16 @@ def dedup_events(g: Given):
     return dedup.accepted_copies(accepted, g.scratch)
 
 
-@query("j12_live_keys", f"SELECT idempotency_key, since + INTERVAL 24 HOUR AS expires_at FROM taken WHERE kept AND since + INTERVAL 24 HOUR >= {sql.AS_OF} - INTERVAL 15 DAY")
+@query("j12_live_keys", f"""SELECT idempotency_key, since + INTERVAL 24 HOUR AS expires_at, true AS in_a_live_month FROM taken
+  WHERE kept AND since + INTERVAL 24 HOUR >= {sql.AS_OF} - INTERVAL 15 DAY""")
 def live_keys(g: Given):
-    stored = g.ingested.stored
-    keys = stored.select("idempotency_key", (F.col("ingested_at") + F.make_interval(hours=F.lit(24))).alias("expires_at"))
-    return dedup.live_keys(keys, g.as_of - F.make_interval(days=F.lit(15)))
+    """The keys of all stored events, laid out by month; the months before a moment are dropped, and what is left is read."""
+    keys = ExpiringKeys(g.spark, f"{g.scratch.root}/keys", StructType.fromDDL("idempotency_key string, expires_at timestamp"), "month")
+    expiry = F.col("ingested_at") + F.make_interval(hours=F.lit(dedup.TTL_HOURS))
+    keys.write(g.ingested.stored.select("idempotency_key", expiry.alias("expires_at")), 0)
+    since = dt.datetime.fromisoformat(given.AS_OF_TEXT) - dt.timedelta(days=15)
+    keys.expire(since)
+    return keys.alive(since).withColumn("in_a_live_month", F.lit(keys.expired(since).isEmpty()))
 
 
 _KEYS = """keyed AS (SELECT test_result_id, test_name, dataset_urn, test_root_parent_run_id AS root,

@@ -9,8 +9,10 @@ from causeway.session import Scratch
 from causeway.operators import dedup, ordered, resolution, runs, validation
 from causeway.operators.ingest import ingest
 from causeway.sources import events as event_source
-from causeway.sources.table_store import KeyedTable
-from causeway.streaming.ingest import LineageStore, start_dedup
+from causeway.sources.table_store import ExpiringKeys, KeyedTable
+from causeway.streaming import ingest as stream_ingest, reports
+from causeway.streaming.ingest import LineageStore
+from causeway.streaming.keyed_state import start_dedup
 
 T0 = dt.datetime(2024, 1, 1)
 TERMINAL = ("COMPLETE", "FAIL", "ABORT")
@@ -184,7 +186,7 @@ def test_store_over_batches(spark, tmp_path):
              message(4, "c", "COMPLETE", 5, outputs=False, success=False)]
     second = [message(5, "a", "COMPLETE", 10, 1), message(6, "a", "START", 0, 1), message(7, "a", "RUNNING", 20, 1),
               message(8, "b", "RUNNING", 2, 3), message(9, "c2", "COMPLETE", 6, 30, outputs=False, success=True)]
-    store = LineageStore(spark, str(tmp_path / "store"), buckets=4)
+    store = LineageStore(spark, str(tmp_path / "store"))
     schema = "batch_id long, arrival long, ingested_at timestamp, value string"
 
     def state():
@@ -196,8 +198,8 @@ def test_store_over_batches(spark, tmp_path):
             "rejected": sorted(r.arrival for r in store.tables["rejected"].read().collect()),
         }
 
-    store.apply(spark.createDataFrame(first, schema))
-    store.apply(spark.createDataFrame(second, schema))
+    assert store.take(spark.createDataFrame(first, schema), 0)
+    assert store.take(spark.createDataFrame(second, schema), 1)
     once = state()
     assert once["runs"] == [
         ("a", "COMPLETE", T0, T0 + dt.timedelta(minutes=10)), ("b", "RUNNING", T0, None),
@@ -207,13 +209,14 @@ def test_store_over_batches(spark, tmp_path):
     assert once["datasets"][0] == ("postgresql://wh/s.a", '{"at":5}')
     assert once["tests"] == [("c", "failed"), ("c2", "passed")]
     assert once["rejected"] == [7]
-    store.apply(spark.createDataFrame(second, schema))
+    assert not store.take(spark.createDataFrame(second, schema), 1)
     assert state() == once
+    assert sorted(tuple(r) for r in store.ledger.read().collect()) == [(4, 1, 0, 0), (5, 0, 0, 1)]
 
 
 def test_keyed_table(spark, scratch, tmp_path):
     rows = spark.range(20).selectExpr("id", "'old' AS v")
-    table = KeyedTable(spark, str(tmp_path / "t"), rows.schema, ["id"], buckets=4)
+    table = KeyedTable(spark, str(tmp_path / "t"), rows.schema, ["id"], rows_per_bucket=5)
     assert table.read().count() == 0
     table.upsert(rows, scratch)
     table.upsert(spark.range(5).selectExpr("id", "'new' AS v"), scratch)
@@ -247,25 +250,31 @@ def test_replay_of_a_refused_event(spark, tmp_path):
     batch = spark.createDataFrame(
         [message(1, "a", "COMPLETE", 2), message(2, "a", "FAIL", 3), message(3, "a", "COMPLETE", 5)],
         "batch_id long, arrival long, ingested_at timestamp, value string")
-    store = LineageStore(spark, str(tmp_path / "store"), buckets=2)
-    store.apply(batch)
+    store = LineageStore(spark, str(tmp_path / "store"))
+
+    def apply():
+        scratch = Scratch(spark)
+        store._apply(scratch.cut(stream_ingest.counted(batch)[0]), 0, scratch)
+
+    apply()
 
     def state():
-        return {name: sorted(map(str, store.tables[name].read().collect())) for name in store.tables}
+        found = {name: sorted(map(str, store.tables[name].read().collect())) for name in store.tables}
+        return {**found, "keys": sorted(map(str, store.keys.read().collect()))}
 
     once = state()
     assert len(once["rejected"]) == 1 and len(once["runs"]) == 1
-    store.apply(batch)
+    apply()  # as after a failure before the batch was in the ledger
     assert state() == once
     history = [(r.arrival, r.from_state, r.to_state) for r in store.tables["history"].read().collect()]
     assert history == [(1, None, "COMPLETE")]
 
 
 def test_requests_on_stored_resolutions_and_expiry_of_keys(spark, tmp_path):
-    store = LineageStore(spark, str(tmp_path / "store"), buckets=1)
+    store = LineageStore(spark, str(tmp_path / "store"))
     schema = "batch_id long, arrival long, ingested_at timestamp, value string"
-    store.apply(spark.createDataFrame([message(1, "m", "COMPLETE", 0), message(2, "m", "COMPLETE", 1, outputs=False, success=False)], schema))
-    assert store.tables["keys"].read().count() == 2
+    store.take(spark.createDataFrame([message(1, "m", "COMPLETE", 0), message(2, "m", "COMPLETE", 1, outputs=False, success=False)], schema), 0)
+    assert store.keys.read().count() == 2
     failed = store.read().tests.first().test_result_id
     asked = spark.createDataFrame(
         [(1, failed, "acknowledged", "", "", 0, "me", T0), (2, failed, "muted", "known", "", 5, "me", T0)],
@@ -273,26 +282,83 @@ def test_requests_on_stored_resolutions_and_expiry_of_keys(spark, tmp_path):
     store.apply_requests(asked)
     found = store.read().resolutions.collect()
     assert [(r.test_result_id, r.status, r.mute_expires_at) for r in found] == [(failed, "muted", T0 + dt.timedelta(days=5))]
-    store.apply(spark.createDataFrame([message(3, "z", "START", 0, hour=49)], schema))
-    assert [r.arrival for r in store.tables["keys"].read().collect()] == [3]
+    store.take(spark.createDataFrame([message(3, "z", "START", 0, hour=49)], schema), 1)
+    assert store.keys.read().count() == 3
+    days = store.expire_keys(T0 + dt.timedelta(hours=49))
+    assert days == [(T0 + dt.timedelta(hours=24)).date()] and [r.arrival for r in store.keys.read().collect()] == [3]
+    assert store.expire_keys(T0 + dt.timedelta(hours=49)) == []
 
 
 def test_stream_keeps_a_copy_after_a_day(spark, tmp_path):
-    """One file per micro-batch; the time to live counts from the copy that was kept."""
-    schema = "arrival long, idempotency_key string, ingested_at timestamp"
+    """One file per micro-batch, and the stream started anew in between; the time to live counts from the copy that was kept."""
+    schema = "arrival long, idempotency_key string, ingested_at timestamp, note string"
     hours = [0, 5, 23, 25, 48, 50]
-    for i, hour in enumerate(hours):
-        rows = [(i * 2, "k", T0 + dt.timedelta(hours=hour)), (i * 2 + 1, f"own{i}", T0)]
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    start_dedup(stream, str(tmp_path / "out"), str(tmp_path / "progress"), buckets=2, available_now=True).awaitTermination()
-    kept = {r.arrival for r in spark.read.parquet(str(tmp_path / "out" / "events")).collect()}
-    assert kept == {0, 6, 10, *range(1, 12, 2)}
+    for start in (0, 3):
+        for i in range(start, start + 3):
+            rows = [(i * 2, "k", T0 + dt.timedelta(hours=hours[i]), "n"), (i * 2 + 1, f"own{i}", T0, None), (100 + i, "k", T0 + dt.timedelta(hours=hours[i]), "late")]
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        start_dedup(stream, str(tmp_path / "out"), str(tmp_path / "progress"), available_now=True).awaitTermination()
+    kept = {r.arrival: (r.ingested_at, r.note) for r in spark.read.parquet(str(tmp_path / "out" / "events")).collect()}
+    assert set(kept) == {0, 6, 10, *range(1, 12, 2)} and kept[6] == (T0 + dt.timedelta(hours=25), "n")
+
+
+def test_expiry_reads_no_live_row(spark, tmp_path):
+    rows = spark.createDataFrame([(f"k{i}", T0 + dt.timedelta(hours=i)) for i in range(0, 120, 7)], "idempotency_key string, expires_at timestamp")
+    keys = ExpiringKeys(spark, str(tmp_path / "keys"), rows.schema)
+    keys.write(rows, 1)
+    keys.write(rows.filter("idempotency_key < 'k3'"), 1)  # the batch again: only the partitions that it has are replaced
+    as_of = T0 + dt.timedelta(days=3, hours=5)
+    plan = keys.expired(as_of)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "expires_in" in plan.split("PartitionFilters")[1].split("]")[0]
+    before = {f for f in spark.read.parquet(str(tmp_path / "keys")).inputFiles()}
+    assert len(keys.expire(as_of)) == 3
+    after = {f for f in spark.read.parquet(str(tmp_path / "keys")).inputFiles()}
+    assert after < before and all(r.expires_at.date() >= as_of.date() for r in keys.read().collect())
+    assert sorted(r.expires_at for r in keys.alive(as_of).collect()) == [r for r in sorted(r.expires_at for r in keys.read().collect()) if r >= as_of]
+
+
+def test_refresh_by_change_equals_a_rebuild(spark, tmp_path):
+    """Three batches; the reports equal a rebuild, and buckets without a change are not written."""
+    def linked(arrival, run, reads, writes, minute, kind="COMPLETE", success=None, parent=None):
+        dataset = lambda name: {"namespace": "ns", "name": name}
+        inputs = [dataset(d) for d in reads]
+        if success is not None:
+            inputs[0]["inputFacets"] = {"dataQualityAssertions": {"assertions": [{"assertion": "t", "success": success}]}}
+        facets = {"parent": {"run": {"runId": parent}, "root": {"run": {"runId": parent}}}} if parent else {}
+        body = {"eventTime": (T0 + dt.timedelta(minutes=minute)).isoformat() + "Z", "eventType": kind, "producer": "https://github.com/a/b/tree/1.0",
+                "schemaURL": SPEC, "run": {"runId": run, "facets": facets}, "job": {"namespace": "n", "name": "j"}, "inputs": inputs,
+                "outputs": [dataset(d) for d in writes]}
+        return (None, arrival, T0 + dt.timedelta(minutes=minute), json.dumps(body))
+
+    batches = [
+        [linked(i, f"r{i}", [f"d{i // 2}"] if i else [], [f"d{i}"], i, "START", parent="root") for i in range(30)]
+        + [linked(100 + i, f"q{i}", [f"d{i * 3}"], [], i, success=False) for i in range(8)],
+        [linked(200, "new", ["d29"], ["leaf"], 50), linked(201, "root", [], [], 51), linked(202, "q9", ["leaf"], [], 52, success=False)],
+        [linked(300, "r3", ["d1"], ["d3"], 60), linked(301, "q1", ["d3"], [], 61, success=True)],
+    ]
+    store = LineageStore(spark, str(tmp_path / "store"), rows_per_bucket=8)
+    schema = "batch_id long, arrival long, ingested_at timestamp, value string"
+
+    def shown():
+        return {n: sorted(map(str, store.reports.read(n).collect())) for n in ("resolved_datasets", "incident_view", "impact")}
+
+    def files(name):
+        return set(spark.read.parquet(f"{store.root}/reports/{name}").inputFiles())
+
+    for number, batch in enumerate(batches):
+        before = {n: files(n) for n in ("resolved_datasets", "impact")} if number else None
+        assert store.take(spark.createDataFrame(batch, schema), number, refresh=True)
+        if number == 2:
+            assert all(before[n] & files(n) and before[n] - files(n) for n in before)
+        by_change = shown()
+        store.rebuild()
+        assert by_change == shown() and all(by_change.values())
 
 
 def test_a_write_that_fails_changes_nothing(spark, scratch, tmp_path):
     rows = spark.range(20).selectExpr("id", "'old' AS v")
-    table = KeyedTable(spark, str(tmp_path / "t"), rows.schema, ["id"], buckets=4)
+    table = KeyedTable(spark, str(tmp_path / "t"), rows.schema, ["id"], rows_per_bucket=5)
     table.upsert(rows, scratch)
     broken = spark.range(20).selectExpr("id", "CASE WHEN id = 19 THEN raise_error('stop') ELSE 'new' END AS v")
     with pytest.raises(Exception):
