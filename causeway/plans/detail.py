@@ -99,23 +99,3 @@ def details(tables: Tables, scratch: Scratch, wanted: DataFrame | None = None) -
         # All attempts of the retry groups of these incidents; the siblings are the other rows of a group.
         attempts=attempts.join(shown, ["test_name", "dataset_urn", "retry_key"], "left_semi"),
     )
-
-
-def detail_summary(found: Details) -> DataFrame:
-    """One row per incident: its head with the sizes of its trees and of its chain."""
-    runs = ["run_id"]
-    below = found.downstream.groupBy(*runs).agg(F.count(F.lit(1)).alias("downstream_rows"))
-    above = found.upstream.groupBy("start_urn", "run_id").agg(F.count(F.lit(1)).alias("upstream_rows"))
-    chain = found.chains.groupBy(*runs).agg(
-        F.count(F.lit(1)).alias("chain_length"), F.max_by("ancestor_run_id", "depth").alias("chain_root_run_id")
-    )
-    zero = F.lit(0).cast("bigint")
-    joined = (
-        found.heads.join(below.withColumnRenamed("run_id", "job_run_id"), "job_run_id", "left")
-        .join(
-            above.withColumnsRenamed({"run_id": "job_run_id", "start_urn": "dataset_urn"}),
-            ["dataset_urn", "job_run_id"], "left",
-        )
-        .join(chain.withColumnRenamed("run_id", "job_run_id"), "job_run_id", "left")
-    )
-    return joined.withColumns({c: F.coalesce(c, zero) for c in ("downstream_rows", "upstream_rows", "chain_length")})

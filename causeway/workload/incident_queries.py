@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from causeway.functions import event_fields as ef
 from causeway.operators import validation
 from causeway.plans import detail, graph, health, incidents
+from causeway.workload.lines import line_sql, lines, union
 from causeway.workload.registry import Given, query
 from causeway.workload import sql
-from causeway.workload.sql import _GROUP, AS_OF
+from causeway.workload.sql import AS_OF, GROUP
 
 _VIEW = ", ".join(incidents.VIEW_COLUMNS)
 
@@ -168,7 +169,7 @@ def filtered_list(g: Given):
 
 
 _ATTEMPTS = f"""SELECT test_result_id, test_name, dataset_urn, test_executed_at,
-  row_number() OVER ({_GROUP} ORDER BY test_executed_at, test_result_id) AS attempt, count(*) OVER ({_GROUP}) AS total_attempts FROM one"""
+  row_number() OVER ({GROUP} ORDER BY test_executed_at, test_result_id) AS attempt, count(*) OVER ({GROUP}) AS total_attempts FROM one"""
 
 
 @query("f4_attempt_numbers", _ATTEMPTS)
@@ -402,18 +403,22 @@ def correlation_rate(g: Given):
     return health.correlation_rate(health.health_stats(g.tables)).select("correlation_rate")
 
 
-@query("e5_incident_counts", f"""SELECT * FROM (WITH attempts AS (SELECT *, row_number() OVER ({_GROUP} ORDER BY test_executed_at DESC, test_result_id DESC) AS row_num
-  FROM one_state) SELECT count(*) FILTER (WHERE {_ACTIVE}) AS active,
-  count(*) FILTER (WHERE resolution_status = 'resolved' AND {_recent(30)}) AS resolved,
-  count(*) FILTER (WHERE resolution_status = 'muted' AND {_recent(30)}) AS muted FROM attempts WHERE row_num = 1) q""")
+def _counts_sql(days: int) -> str:
+    """Each retry group is one row, with the state of its newest attempt; the states are then added up."""
+    recent = f"newest.moved >= {AS_OF} - INTERVAL {days} DAY"
+    shown = {"active": "coalesce(newest.state, 'open') IN ('open', 'acknowledged')",
+             **{state: f"newest.state = '{state}' AND {recent}" for state in ("resolved", "muted")}}
+    sums = ", ".join(f"coalesce(sum(CASE WHEN {rule} THEN 1 END), 0)::BIGINT AS {name}" for name, rule in shown.items())
+    return f"""SELECT {sums} FROM (SELECT arg_max({{'state': resolution_status, 'moved': resolution_updated_at}}, (test_executed_at, test_result_id)) AS newest
+  FROM one_state GROUP BY test_name, dataset_urn, {sql.RETRY}) g"""
+
+
+@query("e5_incident_counts", _counts_sql(30))
 def incident_counts(g: Given):
     return incidents.count_incidents(g.tables, g.as_of)
 
 
-@query("l3_incident_counts", f"""SELECT * FROM (WITH attempts AS (SELECT *, row_number() OVER ({_GROUP} ORDER BY test_executed_at DESC, test_result_id DESC) AS row_num
-  FROM one_state) SELECT count(*) FILTER (WHERE {_ACTIVE}) AS active,
-  count(*) FILTER (WHERE resolution_status = 'resolved' AND {_recent(7)}) AS resolved,
-  count(*) FILTER (WHERE resolution_status = 'muted' AND {_recent(7)}) AS muted FROM attempts WHERE row_num = 1) q""")
+@query("l3_incident_counts", _counts_sql(7))
 def incident_counts_week(g: Given):
     return incidents.count_incidents(g.tables, g.as_of, window_days=7)
 
@@ -503,18 +508,37 @@ def page_rules(g: Given):
     return incidents.page(listed, rules["limit"], rules["offset"]).select("test_result_id")
 
 
-@query("l2_incident_detail", f"""SELECT {", ".join("o." + c for c in incidents.VIEW_COLUMNS)},
-  CASE WHEN job_status IN ('RUNNING','START','OTHER','') AND parent_job_status IN {sql.TERMINAL} THEN parent_job_status ELSE job_status END AS effective_job_status,
-  CASE WHEN job_status IN ('RUNNING','START','OTHER','') AND parent_job_status IN {sql.TERMINAL} THEN parent_job_completed_at ELSE job_completed_at END AS effective_completed_at,
-  CASE WHEN o.dataset_urn IN (SELECT dataset_urn FROM lonely) THEN 'orphan' ELSE 'correlated' END AS correlation_status,
-  coalesce(resolution_status, 'open') AS resolution_status, resolved_by, resolution_reason, mute_expires_at, a.total_attempts,
-  coalesce(d.n, 0) AS downstream_rows, coalesce(u.n, 0) AS upstream_rows, coalesce(c.n, 0) AS chain_length, c.root AS chain_root_run_id
-  FROM one_state o JOIN ({_ATTEMPTS}) a ON o.test_result_id = a.test_result_id
-  LEFT JOIN (SELECT run_id, count(*) AS n FROM down_tree GROUP BY run_id) d ON d.run_id = o.job_run_id
-  LEFT JOIN (SELECT start_urn, run_id, count(*) AS n FROM up_tree GROUP BY start_urn, run_id) u ON u.run_id = o.job_run_id AND u.start_urn = o.dataset_urn
-  LEFT JOIN (SELECT run_id, count(*) AS n, arg_max(ancestor_run_id, depth) AS root FROM chain GROUP BY run_id) c ON c.run_id = o.job_run_id""")
+_ENDED_ABOVE = f"job_status IN ('RUNNING','START','OTHER','') AND parent_job_status IN {sql.TERMINAL}"
+_HEADS = f"""(SELECT o.*, CASE WHEN {_ENDED_ABOVE} THEN parent_job_status ELSE job_status END AS effective_job_status,
+  CASE WHEN {_ENDED_ABOVE} THEN parent_job_completed_at ELSE job_completed_at END AS effective_completed_at,
+  CASE WHEN o.dataset_urn IN (SELECT dataset_urn FROM lonely) THEN 'orphan' ELSE 'correlated' END AS correlation_status, a.total_attempts
+  FROM (SELECT * REPLACE (coalesce(resolution_status, 'open') AS resolution_status) FROM one_state) o
+  JOIN ({_ATTEMPTS}) a ON o.test_result_id = a.test_result_id)"""
+_TIMES = ("test_executed_at", "job_started_at", "job_completed_at", "parent_job_completed_at", "root_parent_job_completed_at",
+          "effective_completed_at", "mute_expires_at")
+_DETAIL = {
+    "head": (_HEADS, [f"@{c}" if c in _TIMES else c for c in (
+        *incidents.VIEW_COLUMNS, "effective_job_status", "effective_completed_at", "correlation_status", "resolution_status", "resolved_by",
+        "resolution_reason", "mute_expires_at", "total_attempts")]),
+    "downstream": ("(SELECT * FROM down_tree WHERE run_id IN (SELECT job_run_id FROM one))",
+                   ["run_id", "dataset_urn", "dataset_name", "depth", "parent_urn", "producer"]),
+    "upstream": ("up_tree", ["start_urn", "run_id", "dataset_urn", "dataset_name", "depth", "child_urn", "producer"]),
+    "chain": ("(SELECT * FROM chain WHERE run_id IN (SELECT job_run_id FROM one))",
+              ["run_id", "ancestor_run_id", "depth", "job_name", "job_namespace", "producer_name", "status"]),
+    "attempt": (f"""(SELECT *, row_number() OVER ({sql.GROUP} ORDER BY test_executed_at, test_result_id) AS attempt, {sql.RETRY} AS retry_key,
+      count(*) OVER ({sql.GROUP}) AS total_attempts, coalesce(resolution_status, 'open') AS state FROM one_state)""",
+                ["test_name", "dataset_urn", "retry_key", "test_result_id", "attempt", "total_attempts", "test_status", "@test_executed_at",
+                 "job_run_id", "state"]),
+}
+
+
+@query("l2_incident_detail", " UNION ALL ".join(line_sql(kind, f"{table} AS {kind}_rows", *columns) for kind, (table, columns) in _DETAIL.items()))
 def incident_detail(g: Given):
-    return detail.detail_summary(detail.details(g.tables, g.scratch))
+    """Whole rows: heads, both trees, chains and attempts of all incidents."""
+    found = detail.details(g.tables, g.scratch)
+    tables = {"head": found.heads, "downstream": found.downstream, "upstream": found.upstream, "chain": found.chains,
+              "attempt": found.attempts.withColumnRenamed("resolution_status", "state")}
+    return union([lines(tables[kind], kind, *columns) for kind, (_, columns) in _DETAIL.items()])
 
 
 @query("l4_health", f"""SELECT {_RATE} AS correlation_rate, tested AS total_datasets, produced AS produced_datasets, correlated AS correlated_datasets,

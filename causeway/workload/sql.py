@@ -90,8 +90,8 @@ def transition(before: str, after: str) -> str:
   ELSE 'invalid_transition' END"""
 
 
-_RETRY = "coalesce(nullif(CAST(test_root_parent_run_id AS VARCHAR), ''), CAST(test_result_id AS VARCHAR))"
-_GROUP = f"PARTITION BY test_name, dataset_urn, {_RETRY}"
+RETRY = "coalesce(nullif(CAST(test_root_parent_run_id AS VARCHAR), ''), CAST(test_result_id AS VARCHAR))"
+GROUP = f"PARTITION BY test_name, dataset_urn, {RETRY}"
 
 
 def _carried(alias: str, prefix: str) -> str:
