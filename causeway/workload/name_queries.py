@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from causeway.functions import event_fields as ef, urn as names
-from causeway.functions.aliases import AliasResolver
+from causeway.functions.aliases import AliasResolver, RuleIndex
 from causeway.operators import validation
 from causeway.plans import quality
 from causeway.sources import alias_file, events as event_source, seeds
@@ -87,13 +87,17 @@ _TWO_RULES = r"""CASE WHEN regexp_matches(urn, '^postgresql://wh/s[^/]+\.[^/]+$'
   WHEN regexp_matches(urn, '^demo_pg/.+$') THEN regexp_replace(urn, '^demo_pg/(.+)$', 'postgresql://pg/\1') END"""
 
 
+_RULES = [*given.ALIAS_RULES, ("demo_pg/{path*}", "postgresql://pg/{path}"), ("demo_pg/{x}", "never")]
+
+
 def _two_rules():
-    return AliasResolver([*given.ALIAS_RULES, ("demo_pg/{path*}", "postgresql://pg/{path}"), ("demo_pg/{x}", "never")])
+    return AliasResolver(_RULES)
 
 
 @query("b8_resolve", f"SELECT k, coalesce({_TWO_RULES}, urn) AS canonical_urn FROM names")
 def resolve(g: Given):
-    return g["names"].select("k", _two_rules().resolve(F.col("urn")).alias("canonical_urn"))
+    """By the index over rules; the chain of conditions is asked by ``b9_match``."""
+    return RuleIndex(g.spark, _RULES).resolve(g["names"].select("k", "urn")).select("k", "canonical_urn")
 
 
 @query("b9_match", f"SELECT k, {_TWO_RULES} AS canonical_urn, {_TWO_RULES} IS NOT NULL AS matched FROM names")

@@ -118,3 +118,39 @@ def test_parent_ids(spark):
     ], "i int, f map<string,string>")
     rows = frame.orderBy("i").select(ef.parent_run_id(F.col("f")), ef.root_parent_run_id(F.col("f"))).collect()
     assert [tuple(r) for r in rows] == [("p", "r"), ("", ""), ("", ""), ("", "")]
+
+
+def test_ten_thousand_rules_by_index(spark):
+    """The index gives every name the target of the first rule that matches it, as trying all rules in order does."""
+    import random
+    import re
+
+    from causeway.functions.aliases import AliasResolver, RuleIndex, compile_rule
+
+    rng = random.Random(2)
+    rules = [("", "x"), ("{a}/{a}", "y")]
+    for i in range(10_000):
+        n = rng.randrange(6000)
+        rules.append(rng.choice([
+            (f"tool{n}/{{name}}", f"postgresql://pg/{{name}}.{i}"), (f"tool{n}/a.{{x}}/{{rest*}}", f"$1\\{i}0{{rest}}/{{x}}{{gone}}"),
+            (f"tool{n}", f"exact{i}"), (f"s3://b{n % 50}/{{path*}}", f"s3://c/{{path}}{i}")]))
+    rules += [("{kind}x9/{name}", "any/{kind}7{name}")]
+    names = [f"tool{rng.randrange(6500)}{rng.choice(['', '/n', '/a.b/c/d', '/a.b', '/n/m', 'x9/q'])}" for _ in range(3000)]
+    names += [f"s3://b{i}/p/q" for i in range(55)] + ["", "é/ü", None, "y/y"]
+
+    def by_hand(name, given):
+        for rule in filter(None, (compile_rule(*r) for r in given)):
+            found = re.match(rule.regex.replace(r"\z", r"\Z"), name)
+            if found:
+                values = dict(zip(rule.variables, found.groups()))
+                return re.sub(r"\{([a-z]+)\*?\}", lambda m: values.get(m[1], m[0]), rule.canonical)
+        return name
+
+    frame = spark.createDataFrame([(n,) for n in names], "urn string")
+    got = [(r.urn, r.canonical_urn) for r in RuleIndex(spark, rules).resolve(frame).collect()]
+    assert len(got) == len(names)
+    some = dict(rng.sample(got, 150))
+    assert {n: c for n, c in some.items()} == {n: None if n is None else by_hand(n, rules) for n in some}
+    few = rules[:150]
+    chain = {r.urn: r.c for r in frame.select("urn", AliasResolver(few).resolve(F.col("urn")).alias("c")).collect()}
+    assert {r.urn: r.canonical_urn for r in RuleIndex(spark, few).resolve(frame).collect()} == chain
