@@ -75,4 +75,4 @@ def test_stages_take_odd_tables(spark, tmp_path):
 
 def test_registered_queries():
     assert set(ORACLES) <= set(QUERIES) and "pipeline" in QUERIES
-    assert sorted(q.split("_")[0] for q in QUERIES if q != "pipeline") == sorted(f"op{i}" for i in range(1, 11))
+    assert sorted(q.split("_")[0] for q in QUERIES if q != "pipeline") == sorted(f"op{i}" for i in range(1, 14))
