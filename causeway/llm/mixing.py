@@ -9,9 +9,9 @@ size spreads the choice evenly over short and long documents, so the words taken
 about one document of the target.
 
 Results for odd input: null and empty texts have size 0 and are taken 0 times in words; a null
-source is a source of its own, the last in order; rows that repeat doc_id, source and size are
-drawn together, each with the same number of copies; an empty table gives an empty result; a
-source without words has target 0 and no copies.
+source is a source of its own, the last in order; rows that repeat doc_id, source and size stand
+one behind the other, each with a place in the sum of its own (which of them is which is decided by their other
+columns); an empty table gives an empty result; a source without words has target 0 and no copies.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from causeway.llm.common import Work
+from causeway.operators.ordered import RANGE, range_blocks, with_rank
 
 WEIGHTS = (5, 2, 1)
 LIMIT = 3
@@ -58,10 +59,10 @@ def offset(source: Column, seed: str = SEED) -> Column:
 
 
 def draw(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT, seed: str = SEED) -> DataFrame:
-    """One row per distinct (doc_id, source, size): with rows, source_size, target and copies.
+    """One row per document: doc_id, source, size, source_size, target, copies; ``rows`` repeat these three, and this is the ``nth``.
 
     The sum along the order is a count, as all documents of a source expect the same. It is made
-    without bringing a source together: the rows are sorted by ranges, positions are counted
+    without bringing a source together: distinct rows are sorted by ranges, rows are counted
     inside each range, and the ranges' totals are summed up apart.
     """
     work = Work(docs.sparkSession)
@@ -75,28 +76,40 @@ def draw(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT
     # The upper bits hold the range, the lower 33 the place in it.
     placed = work.cut(placed.withColumn("at", F.monotonically_increasing_id()))
     work.release(units)
-    piece = F.shiftright("at", 33)
-    ranges = placed.groupBy("source", piece.alias("piece")).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    placed = placed.withColumn("piece_at", F.shiftright("at", 33))
+    inside = Window.partitionBy("piece_at", "source").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("here", F.coalesce(F.sum("rows").over(inside), F.lit(0)))
+    ranges = placed.groupBy("source", F.col("piece_at").alias("piece")).agg(F.sum("rows").alias("n"))
     earlier = Window.partitionBy("source").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(
         goal.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     ranges = ranges.withColumnRenamed("source", "of").withColumn("u", offset(F.col("of"), seed))
-    here = placed.withColumn("piece_at", piece).join(
-        ranges, (F.col("piece_at") == F.col("piece")) & F.col("source").eqNullSafe(F.col("of")))
+    here = placed.join(ranges, (F.col("piece_at") == F.col("piece")) & F.col("source").eqNullSafe(F.col("of")))
+    here = here.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("bigint"), "rows")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rank = F.col("before") + F.col("at") - F.col("first")
+    rank = F.col("before") + F.col("here") + F.col("nth") - 1
     crossed = F.floor((rank + 1) * rate + F.col("u")) - F.floor(rank * rate + F.col("u"))
     # Rounding must not add a copy beyond the limit.
-    return here.select("doc_id", "source", "size", "rows", "source_size", "target",
+    return here.select("doc_id", "source", "size", "rows", "nth", "source_size", "target",
                        F.least(crossed, F.lit(limit)).cast("bigint").alias("copies"))
 
 
 def mix(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs``, each repeated as often as the mix takes it."""
-    copies = draw(docs, **settings).select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"),
-                                           F.col("size").alias("__n"), "copies").where("copies > 0")
+    work = Work(docs.sparkSession)
+    drawn = work.cut(draw(docs, **settings).select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__n"),
+                                                   "rows", "nth", "copies"))
     rows = docs.select(F.struct(*docs.columns).alias("row"), word_count(F.col("text")).alias("n"))
     same = (F.col("row.doc_id").eqNullSafe(F.col("__d")) & F.col("row.source").eqNullSafe(F.col("__s"))
             & (F.col("n") == F.col("__n")))
-    return (rows.join(copies, same)
-            .select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).select("row.*"))
+    taken = rows.join(drawn.where("rows = 1 AND copies > 0"), same).select("row", "copies")
+    repeated = drawn.where("rows > 1")
+    if not repeated.isEmpty():
+        # Only rows that repeat are numbered; equal ones may stand in any order.
+        among = rows.join(repeated.select("__d", "__s", "__n").distinct(), same, "left_semi")
+        among = among.select("row", "n", F.xxhash64(F.to_json("row")).alias("h"), F.monotonically_increasing_id().alias("id"),
+                             F.col("row.doc_id").alias("__d"), F.col("row.source").alias("__s"))
+        keys, order = ["__d", "__s", "n"], ["h", "id"]
+        ranked = with_rank(range_blocks(among, keys, order, work), keys, order, F.col(RANGE), "place").select("row", "n", "place")
+        taken = taken.union(ranked.join(repeated.where("copies > 0"), same & (F.col("place") == F.col("nth"))).select("row", "copies"))
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).select("row.*")

@@ -23,8 +23,7 @@ def op1_minhash(spark: SparkSession, folder: str) -> DataFrame:
 def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     drawn = mixing.draw(table(spark, folder, "documents"))
     taken = (F.col("copies") * F.col("size")).alias("taken")
-    each = drawn.withColumn("row", F.explode(F.sequence(F.lit(1).cast("bigint"), "rows")))
-    return each.select("doc_id", "size", "source_size", "target", taken)
+    return drawn.select("doc_id", "size", "source_size", "target", taken)
 
 
 def op3_pieces(spark: SparkSession, folder: str) -> DataFrame:
@@ -126,15 +125,15 @@ WITH d AS (
   FROM c
 ), u AS (
   SELECT doc_id, source, size, count(*) AS n,
-         row_number() OVER (PARTITION BY source ORDER BY size, doc_id NULLS FIRST) - 1 AS r
+         sum(count(*)) OVER (PARTITION BY source ORDER BY size, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) - count(*) AS r
   FROM d GROUP BY doc_id, source, size
 ), m AS (
   SELECT u.*, source_size, target, u.u_, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate
   FROM (SELECT u.*, t.source_size, t.target, t.u AS u_ FROM u JOIN t ON u.source IS NOT DISTINCT FROM t.source) u
 )
 SELECT doc_id, size, source_size, target,
-       (size * least(3, floor((r + 1) * rate + u_) - floor(r * rate + u_)))::BIGINT AS taken
-FROM m, range(n)
+       (size * least(3, floor((r + x + 1) * rate + u_) - floor((r + x) * rate + u_)))::BIGINT AS taken
+FROM m, range(n) t(x)
 """
 
 _CHAT_SQL = """

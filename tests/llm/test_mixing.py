@@ -71,3 +71,25 @@ def test_partitions_do_not_change_the_draw(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert found[0] == found[1]
+
+
+def test_repeated_rows_come_near_the_target(spark):
+    """A row that is there many times is taken as often as its place in the sum says, not all or none."""
+    rows = [(i, "a", "w " * 10) for i in range(30)] + [(99, "a", "w " * 10)] * 40 + [(500 + i, "b", "w " * 50) for i in range(20)]
+    drawn = mixing.draw(frame(spark, rows)).collect()
+    assert len(drawn) == len(rows) and len([r for r in drawn if r.doc_id == 99]) == 40
+    target = next(r.target for r in drawn if r.source == "a")
+    assert abs(sum(r.copies * r.size for r in drawn if r.source == "a") - target) <= 10
+    # Rows of one id and size that differ in a further column are numbered as well.
+    mixed = mixing.mix(spark.createDataFrame([(*r, n, "r") for n, r in enumerate(rows)], SCHEMA)).collect()
+    taken = {}
+    for r in mixed:
+        taken[r.copies] = taken.get(r.copies, 0) + 1
+    assert len(mixed) == sum(r.copies for r in drawn) and max(taken.values()) <= 3
+    assert abs(10 * sum(r.source == "a" for r in mixed) - target) <= 10
+
+
+def test_no_python_in_the_plan(spark):
+    for made in (mixing.draw(frame(spark, documents())), mixing.mix(frame(spark, documents()))):
+        plan = made._jdf.queryExecution().toString()
+        assert "Python" not in plan and "Arrow" not in plan
