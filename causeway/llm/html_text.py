@@ -48,8 +48,10 @@ COLUMN = 60
 GAP = "  "
 
 _TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*)|<[!?][^>]*>?|</([A-Za-z][^\s/>]*)[^>]*>"
-    r"|<([A-Za-z][^\s/>]*)((?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+)>|<([A-Za-z][^\s/<>]*)([^<>]*)>", re.DOTALL)
+    r"<!--(?:.*?-->|.*)|<[!?][^>]*+>?|</([A-Za-z][^\s/>]*+)[^>]*+>"
+    r"|<([A-Za-z][^\s/>]*+)((?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+)>|<([A-Za-z][^\s/<>]*+)([^<>]*+)>", re.DOTALL)
+# What hides the rest of a page in which no tag ends any more.
+_OPEN_END = re.compile(r"<[!?]")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _HIDES = re.compile(r"display\s*:\s*none", re.IGNORECASE)
@@ -122,12 +124,15 @@ class _Tree:
 def build(source: str) -> Node:
     """The tree of a page; children are nodes and texts."""
     tree, at = _Tree(), 0
+    # Beyond the last ">" no tag ends, so none is looked for: each search ends where its tag does.
+    last = source.rfind(">") + 1
     while at < len(source):
-        match = _TOKEN.search(source, at)
-        if match is None or match.start() > at:
-            tree.open[-1].children.append(html.unescape(source[at:match.start() if match else len(source)]))
-            if match is None:
-                break
+        match = _TOKEN.search(source, at, last) if at < last else None
+        hidden = match or _OPEN_END.search(source, max(at, last))
+        if hidden is None or hidden.start() > at:
+            tree.open[-1].children.append(html.unescape(source[at:hidden.start() if hidden else len(source)]))
+        if match is None or match[0].startswith("<!--") and not match[0].endswith("-->"):
+            break
         at = match.end()
         ended, name, attributes, loose, rest = match.groups()
         if ended:
@@ -138,6 +143,8 @@ def build(source: str) -> Node:
         elif name or loose:
             tag, attributes = (name or loose).lower(), attributes if name else rest
             tree.start(tag, _attributes(attributes), tag in VOID)
+            if tag in ("pre", "textarea"):  # a line end right after the tag does not count
+                at += 2 if source.startswith("\r\n", at) else source.startswith("\n", at)
             if tag in RAW:
                 stop = _RAW_END[tag].search(source, at)
                 end = stop.start() if stop else len(source)
@@ -195,6 +202,11 @@ class _Flow:
         return "".join(self.out)
 
 
+def _number(value: str | None, otherwise: int) -> int:
+    """A written whole number of less than ten digits."""
+    return int(value) if value and re.fullmatch(r"-?[0-9]{1,9}", value.strip()) else otherwise
+
+
 def _span(node: Node, name: str) -> int:
     value = node.attributes.get(name, "")
     return max(1, min(int(value), 1000)) if value.isdecimal() and len(value) < 10 else 1
@@ -261,13 +273,15 @@ class _Renderer:
         if tag in BLOCK:
             flow.break_(2 if tag in SPACED and not (tag in ("ul", "ol") and self.lists) else 1)
         if tag in ("ul", "ol", "menu", "dir"):
-            start = node.attributes.get("start", "1")
-            self.lists.append([tag, int(start) if start.isdecimal() and len(start) < 10 else 1])
+            down = tag == "ol" and "reversed" in node.attributes
+            first = sum(isinstance(c, Node) and c.tag == "li" for c in node.children) if down else 1
+            self.lists.append([tag, _number(node.attributes.get("start"), first), -1 if down else 1])
         elif tag == "li":
             mark = "- "
             if self.lists and self.lists[-1][0] == "ol":
-                mark = f"{self.lists[-1][1]}. "
-                self.lists[-1][1] += 1
+                number = _number(node.attributes.get("value"), self.lists[-1][1])
+                mark = f"{number}. "
+                self.lists[-1][1] = number + self.lists[-1][2]
             flow.marker += mark
             flow.indent += " " * len(mark)
             self.lists.append(["li", len(mark)])

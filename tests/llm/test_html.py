@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -35,6 +37,10 @@ SCHEMA = "page_id bigint, url string, html string, visible string, row string"
     ("<script>never ended <p>x", ""),
     ("1 < 2 and 3 > 2", "1 < 2 and 3 > 2"),
     ("<blockquote>q<br>r</blockquote>s", "  q\n  r\n\ns"),
+    ("<pre>\n  two</pre>", "  two"), ("<pre>\r\na</pre>", "a"), ("x<pre>\n\na</pre>", "x\n\n\na"),
+    ("<ol reversed><li>a<li>b<li>c</ol>", "3. a\n2. b\n1. c"), ("<ol reversed start=9><li>a<li>b</ol>", "9. a\n8. b"),
+    ("<ol><li value=4>a<li>b<li value=-1>c<li value=x>d</ol>", "4. a\n5. b\n-1. c\n0. d"),
+    ("a<b>c</b>d</x y<!-- z", "acd</x y"), ("a<!-- b > c", "a"), ("a > b <!doctype c", "a > b"),
 ])
 def test_pages(page, text):
     assert render(page) == text
@@ -58,6 +64,15 @@ def test_depth_and_length():
     assert render("<ul><li>" * 300 + "x").endswith("- x")
 
 
+@pytest.mark.parametrize("unit", ["x", "<x", "</x", "<x ", "<!x", "<x\"", "</", "<", "<!-- ", "<x y='"])
+@pytest.mark.parametrize("end", ["", ">"])
+def test_unended_tags_take_linear_time(unit, end):
+    page = ("<" + unit if unit == "x" else "") + unit * (1_000_000 // len(unit)) + end
+    start = time.perf_counter()
+    render(page)
+    assert time.perf_counter() - start < 8
+
+
 def test_rows(spark):
     rows = [(1, "u", "<p>a", "v", "r"), (1, "u", "<p>a", "v", "r"), (2, None, None, None, None), (None, "u", "", "v", "r")]
     frame = spark.createDataFrame(rows, SCHEMA)
