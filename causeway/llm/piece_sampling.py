@@ -284,18 +284,60 @@ def encode(docs: DataFrame, model: str = MODEL, key: str = "doc_id", column: str
     return packed.mapInArrow(run, T.StructType([packed.schema["row"], T.StructField("piece_ids", T.ArrayType(T.IntegerType()))]))
 
 
+def spellings(model: bytes) -> list[bytes]:
+    """The bytes of every piece; control pieces have none."""
+    import sentencepiece
+
+    read = sentencepiece.SentencePieceProcessor(model_proto=model)
+    made = []
+    for i in range(read.get_piece_size()):
+        if read.is_byte(i):
+            made.append(bytes([int(read.id_to_piece(i)[1:-1], 16)]))
+        else:
+            silent = read.is_control(i) or read.is_unknown(i) or read.is_unused(i)
+            made.append(b"" if silent else read.id_to_piece(i).replace(SPACE, " ").encode())
+    return made
+
+
+class Speller:
+    """Texts of many lists of piece ids at once, as one gathering of bytes."""
+
+    def __init__(self, spelling: list[bytes]):
+        self.spelling, self.bytes = spelling, np.frombuffer(b"".join(spelling), np.uint8)
+        self.size = np.fromiter(map(len, spelling), np.int64, len(spelling))
+        self.start = np.cumsum(self.size) - self.size
+
+    def texts(self, lists: pa.ListArray) -> pa.Array:
+        ids = np.asarray(lists.flatten())
+        if len(ids) > CHUNK or len(ids) and int(self.size[ids].sum()) > 1 << 26:
+            return pa.array([None if x is None else join_pieces(x, self.spelling) for x in lists.to_pylist()], pa.string())
+        counts = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
+        size = self.size[ids]
+        ends = np.append(0, np.cumsum(size))
+        found = self.bytes[np.repeat(self.start[ids] - ends[:-1], size) + np.arange(ends[-1])]
+        offsets = ends[np.append(0, np.cumsum(counts))]
+        # The first space of a text is the one that encoding put there.
+        begins = np.minimum(offsets[:-1], max(len(found) - 1, 0))
+        lead = (offsets[1:] > offsets[:-1]) & (found[begins] == 0x20 if len(found) else False)
+        kept = np.ones(len(found), bool)
+        kept[offsets[:-1][lead]] = False
+        offsets = offsets - np.append(0, np.cumsum(lead))
+        valid = lists.is_valid()
+        return pa.StringArray.from_buffers(len(lists), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(found[kept]),
+                                           None if lists.null_count == 0 else valid.buffers()[1], lists.null_count)
+
+
 def decode(encoded: DataFrame, model: str = MODEL, column: str = "piece_ids") -> DataFrame:
     """``encoded`` as one struct ``row``, and the text of its piece ids as ``decoded``."""
     packed = encoded.select(F.struct(*encoded.columns).alias("row"))
     content = _model(model)
 
     def run(batches):
-        spelling = Vocabulary(content).spelling
+        speller = Speller(spellings(content))
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                texts = [None if ids is None else join_pieces(ids, spelling) for ids in part.column(0).field(column).to_pylist()]
-                yield pa.record_batch([part.column(0), pa.array(texts, pa.string())], names=["row", "decoded"])
+                yield pa.record_batch([part.column(0), speller.texts(part.column(0).field(column))], names=["row", "decoded"])
 
     return packed.mapInArrow(run, T.StructType([*packed.schema.fields, T.StructField("decoded", T.StringType())]))
 

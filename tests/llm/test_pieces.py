@@ -1,3 +1,4 @@
+import pyarrow as pa
 import math
 from collections import Counter
 
@@ -96,3 +97,19 @@ def test_rows(spark):
     decoded = ps.decode(one).collect()
     assert all(r.decoded == r.row.text for r in decoded) and len(decoded) == 6
     assert ps.sampled(frame.limit(0)).count() == 0
+
+
+def test_texts_of_many_lists_at_once(monkeypatch):
+    spelling = ps.spellings(ps._model(ps.MODEL))
+    assert spelling == ps.Vocabulary(ps._model(ps.MODEL)).spelling
+    tables = ps._Tables(ps.Vocabulary(ps._model(ps.MODEL)))
+    texts = ["", "a", " two  words ", "é日本\U0001f600 x", None, "\n\n", "", None, "end " * 50]
+    seeds = ps.mixed(np.arange(len(texts)).astype(np.uint64))
+    pieces = ps.sample_pieces([t or "" for t in texts], seeds, tables)
+    lists = pa.array([None if t is None else p.tolist() for t, p in zip(texts, pieces)], pa.list_(pa.int32()))
+    speller = ps.Speller(spelling)
+    for part in (lists, lists.slice(2, 4), lists.slice(4, 1), lists.slice(0, 0), lists.slice(5)):
+        assert speller.texts(part).to_pylist() == [None if x is None else ps.join_pieces(x, spelling) for x in part.to_pylist()]
+    assert speller.texts(lists).to_pylist() == texts
+    monkeypatch.setattr(ps, "CHUNK", 3)
+    assert speller.texts(lists).to_pylist() == texts
