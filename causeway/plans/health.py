@@ -74,14 +74,14 @@ def unmatched_orphans(found: DataFrame) -> DataFrame:
     return found.filter(F.col("match_urn").isNull())
 
 
-def suggested_rules(found: DataFrame) -> DataFrame:
-    """One row per orphan that a naming rule would connect: (dataset_urn, category, pattern, canonical).
+def orphan_rules(found: DataFrame) -> DataFrame:
+    """Every orphan with the naming rule that would connect it: (dataset_urn, category, pattern, canonical), null if none would.
 
     Same name in another namespace gives a namespace rule. In one namespace, a name
     that is a dot suffix of the other gives a rule anchored on the leading segments,
     or an exact mapping when the orphan's name has one segment only.
     """
-    named = found.filter(F.col("match_urn").isNotNull()).select(
+    named = found.select(
         "dataset_urn",
         urn_namespace(F.col("dataset_urn")).alias("own_ns"),
         urn_name(F.col("dataset_urn")).alias("own_name"),
@@ -91,8 +91,8 @@ def suggested_rules(found: DataFrame) -> DataFrame:
     # No empty part and no lone slash: both URNs are well formed.
     usable = [F.col(f"{side}_ns") != "" for side in ("own", "other")]
     usable += [~F.col(f"{side}_name").isin("", "/") for side in ("own", "other")]
-    parsed = named.filter(reduce(lambda a, b: a & b, usable)).withColumns(
-        {"own": F.split("own_name", r"\.", -1), "other": F.split("other_name", r"\.", -1)}
+    parsed = named.withColumns(
+        {"own": F.split("own_name", r"\.", -1), "other": F.split("other_name", r"\.", -1), "usable": reduce(lambda a, b: a & b, usable)}
     )
     gap = F.size("other") - F.size("own")
     suffix = F.when(gap > 0, F.slice("other", F.greatest(gap, F.lit(0)) + 1, F.size("own")) == F.col("own")).when(
@@ -100,9 +100,9 @@ def suggested_rules(found: DataFrame) -> DataFrame:
     )
     same_namespace = F.col("own_ns") == F.col("other_ns")
     category = (
-        F.when(~same_namespace & (F.col("own_name") == F.col("other_name")), "namespace")
-        .when(same_namespace & suffix & (F.size("own") < 2), "exact")
-        .when(same_namespace & suffix, "name")
+        F.when(F.col("usable") & ~same_namespace & (F.col("own_name") == F.col("other_name")), "namespace")
+        .when(F.col("usable") & same_namespace & suffix & (F.size("own") < 2), "exact")
+        .when(F.col("usable") & same_namespace & suffix, "name")
     )
 
     def rule(side: str) -> Column:
@@ -111,14 +111,16 @@ def suggested_rules(found: DataFrame) -> DataFrame:
         return (
             F.when(F.col("category") == "namespace", F.concat(namespace, F.lit("/{name}")))
             .when(F.col("category") == "exact", F.concat(namespace, F.lit("/"), F.col(f"{side}_name")))
-            .otherwise(F.concat(namespace, F.lit("/"), head, F.lit(".{table}")))
+            .when(F.col("category") == "name", F.concat(namespace, F.lit("/"), head, F.lit(".{table}")))
         )
 
-    return (
-        parsed.withColumn("category", category)
-        .filter(F.col("category").isNotNull())
-        .select("dataset_urn", "category", rule("own").alias("pattern"), rule("other").alias("canonical"))
-    )
+    return parsed.withColumn("category", category).select(
+        "dataset_urn", "category", rule("own").alias("pattern"), rule("other").alias("canonical"))
+
+
+def suggested_rules(found: DataFrame) -> DataFrame:
+    """One row per orphan that a naming rule would connect: (dataset_urn, category, pattern, canonical)."""
+    return orphan_rules(found).filter(F.col("category").isNotNull())
 
 
 def suggested_patterns(found: DataFrame) -> DataFrame:
@@ -174,15 +176,18 @@ def correlation_rate(stats: DataFrame) -> DataFrame:
 
 
 def health_report(tables: Tables) -> DataFrame:
-    """The health summary in one row; orphans and patterns are reports of their own."""
-    found = orphans(tables)
-    orphan_count = found.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
-    pattern_count = suggested_patterns(found).agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+    """The health summary in one row; orphans and patterns are reports of their own.
+
+    Orphans are found once: grouped by the rule that would connect them, they give both counts.
+    """
+    by_rule = orphan_rules(orphans(tables)).groupBy("category", "pattern", "canonical").agg(F.count(F.lit(1)).alias("n"))
+    counts = by_rule.agg(F.struct(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("orphans"), F.count("category").alias("rules")).alias("c"))
+    found = counts.select("c").scalar()
     return correlation_rate(health_stats(tables)).select(
         "correlation_rate",
         F.col("tested").alias("total_datasets"),
         F.col("produced").alias("produced_datasets"),
         F.col("correlated").alias("correlated_datasets"),
-        orphan_count.alias("orphan_datasets"),
-        pattern_count.alias("suggested_patterns"),
+        found["orphans"].alias("orphan_datasets"),
+        found["rules"].alias("suggested_patterns"),
     )

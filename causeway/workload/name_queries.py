@@ -12,6 +12,7 @@ from causeway.operators import validation
 from causeway.plans import quality
 from causeway.sources import alias_file, events as event_source, seeds
 from causeway.workload import given
+from causeway.workload.lines import line_sql, lines, union
 from causeway.workload.registry import Given, query
 from causeway.workload import sql
 
@@ -27,11 +28,19 @@ def alias_rules(g: Given):
     return edges.union(tests).withColumn("canonical_urn", resolver.resolve(F.col("dataset_urn")))
 
 
-@query("a9_seed_files", "SELECT id, name FROM raw_customers")
+_SEEDS = {"customers": ("id", "name"), "orders": ("id", "customer", "@ordered_at", "store_id", "subtotal", "tax_paid", "order_total")}
+
+
+@query("a9_seed_files", " UNION ALL ".join(line_sql(name, f"raw_{name}", *columns) for name, columns in _SEEDS.items()))
 def seed_files(g: Given):
-    path = f"{g.scratch.root}/seed_customers"
-    g["raw_customers"].write.option("header", True).csv(path)
-    return seeds.read_seed(g.spark, path, "id bigint, name string")
+    """Both seeds as files with a header, read back under their fixed schemas."""
+    read = {"customers": seeds.read_customers, "orders": seeds.read_orders}
+    found = []
+    for name, columns in _SEEDS.items():
+        path = f"{g.scratch.root}/seed_{name}"
+        g[f"raw_{name}"].write.option("header", True).csv(path)
+        found.append(lines(read[name](g.spark, path), name, *columns))
+    return union(found)
 
 
 _TIMES = """SELECT arrival, event_time, event_time_text FROM ev"""
