@@ -15,6 +15,8 @@ from causeway.plans.incidents import Tables
 from causeway.session import Scratch
 
 MAX_DEPTH = 10
+# From this share of all outputs on, the impact of some runs is made from that of all datasets.
+WHOLE_SHARE = 0.1
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
@@ -122,15 +124,18 @@ def impact(tables: Tables, scratch: Scratch, runs: DataFrame | None = None, max_
     """The impact view: each dataset downstream of each run with its least depth (outputs have depth 0).
 
     Datasets are expanded once each and runs joined afterwards, so runs that write the
-    same dataset share the work. ``runs`` limits the starting points, which are then followed level by level.
+    same dataset share the work. ``runs`` limits the starting points; if they are few, these are followed level by level.
     """
     edges = scratch.cut(known_edges(tables))
     steps = run_steps(edges)
     outputs = steps.outputs.select("run_id", F.col("dataset_urn").alias("origin"))
-    if runs is None:
+    whole = runs is None
+    if not whole:
+        everything, outputs = outputs, scratch.cut(outputs.join(runs.select("run_id").distinct(), "run_id", "left_semi"))
+        whole = outputs.count() >= WHOLE_SHARE * everything.count()
+    if whole:
         pairs = closure(steps, scratch, max_depth)
     else:
-        outputs = outputs.join(runs.select("run_id").distinct(), "run_id", "left_semi")
         pairs = reachable(steps, outputs.select(F.col("origin").alias("dataset_urn")), scratch, max_depth)
     per_run = (
         outputs.join(pairs, "origin")
