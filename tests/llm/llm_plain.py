@@ -104,13 +104,11 @@ def dedup_lines(docs: list[tuple], similarity: float = 0.8) -> dict:
             if words:
                 first.setdefault(" ".join(words), (d, i))
     lines = list(first)
-    sims = [simhash(x.split(" ")) for x in lines]
     links = []
     for a in range(len(lines)):
         for b in range(a):
             longer = max(len(lines[a]), len(lines[b]))
-            if (bin(sims[a] ^ sims[b]).count("1") <= 3
-                    and distance(lines[a], lines[b]) <= math.floor(longer * (1 - similarity) + 1e-9)):
+            if distance(lines[a], lines[b]) <= math.floor(longer * (1 - similarity) + 1e-9):
                 links.append((a, b))
     group = groups(range(len(lines)), links)
     place = {line: n for n, line in enumerate(lines)}
