@@ -86,6 +86,19 @@ def distance(a: str, b: str) -> int:
     return row[-1]
 
 
+def within(a: str, b: str, most: int) -> bool:
+    """Whether the distance is ``most`` or less, from the cells that such a path can cross."""
+    row, far = dict(enumerate(range(min(len(b), most) + 1))), most + 1
+    for i, x in enumerate(a, 1):
+        following: dict[int, int] = {}
+        for j in range(max(0, i - most), min(len(b), i + most) + 1):
+            following[j] = i if j == 0 else min(row.get(j - 1, far) + (x != b[j - 1]), row.get(j, far) + 1, following.get(j - 1, far) + 1)
+        if min(following.values(), default=far) > most:
+            return False
+        row = following
+    return row.get(len(b), far) <= most
+
+
 def line_words(line: str) -> list[str]:
     return re.findall("[0-9a-z\x80-\U0010ffff]+", line.lower())
 
@@ -108,7 +121,7 @@ def dedup_lines(docs: list[tuple], similarity: float = 0.8) -> dict:
     for a in range(len(lines)):
         for b in range(a):
             longer = max(len(lines[a]), len(lines[b]))
-            if distance(lines[a], lines[b]) <= math.floor(longer * (1 - similarity) + 1e-9):
+            if within(lines[a], lines[b], math.floor(longer * (1 - similarity) + 1e-9)):
                 links.append((a, b))
     group = groups(range(len(lines)), links)
     place = {line: n for n, line in enumerate(lines)}
