@@ -191,15 +191,15 @@ def display_names(g: Given):
 def flat_facets(g: Given):
     from causeway.operators import tables
 
-    written = tables.written_facets(tables.mentions(g.ingested.stored))
-    return written.select("arrival", F.col("position").cast("bigint").alias("position"), F.explode("written").alias("facet", "value"))
+    entries = tables.facet_entries(g.events).select("arrival", F.col("position").cast("bigint").alias("position"), "facet", "value")
+    return g.ingested.keep(entries)
 
 
 @query("b20_assertion_status", "SELECT run_id, arrival, test_name, status FROM tests_named")
 def assertion_status(g: Given):
     from causeway.operators import tables
 
-    return tables.extract_tests(g.ingested.stored).select("run_id", "arrival", "test_name", "status")
+    return g.ingested.keep(tables.extract_tests(g.events).select("run_id", "arrival", "test_name", "status"))
 
 
 @query("c1_validate_events", f"SELECT arrival, run_id, {sql.REASON} AS reject_reason FROM ev")

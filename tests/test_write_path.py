@@ -390,3 +390,55 @@ def test_a_key_that_comes_back_every_day_for_three_years(spark, scratch):
     assert got == kept and len([a for a in kept if a < 1096]) == 1096
     assert (counted._count - rounds[0]) / 3 <= 12  # a round writes three tables
     counted.drop()
+
+
+def test_ingest_settles_outcomes_over_single_fields(spark, scratch, tmp_path):
+    """Facets and datasets are in no table that is written on the way, and what is stored has them all the same."""
+    def record(run, kind, minute):
+        return {"eventTime": f"2025-10-21T10:{minute:02d}:00Z", "eventType": kind, "producer": "p", "schemaURL": SPEC,
+                "run": {"runId": run, "facets": {"big": {"text": "x" * 50}}}, "job": {"namespace": "n", "name": "j"},
+                "inputs": [{"namespace": "a://b", "name": "in", "facets": {"f": {"v": minute}}}], "outputs": [{"namespace": "a://b", "name": run}]}
+
+    (tmp_path / "one.json").write_text(json.dumps([record("r1", "COMPLETE", 5), record("r1", "START", 1)]))
+    (tmp_path / "two.json").write_text(json.dumps([record("r2", "START", 1), record("r3", "FAIL", 2), record("r2", "START", 1)]))
+    events, _ = event_source.read_event_batch(spark, str(tmp_path), scratch)
+    events = scratch.cut(event_source.normalize_events(events))
+    own = Scratch(spark)
+    done = ingest(events, own, spark.createDataFrame([], RESOLUTIONS))
+    assert sorted(r.outcome for r in done.outcomes.collect()) == ["duplicate"] + ["stored"] * 4
+    assert done.stored.count() == 4 and done.stored.filter("size(inputs) = 1 AND run_facets['big'] IS NOT NULL").count() == 4
+    assert {(r.run_id, r.event_type): r.arrival for r in done.heads.filter("run_id = 'r1'").collect()} == {
+        (r.run_id, r.event_type): r.arrival for r in done.stored.filter("run_id = 'r1'").collect()}
+    assert {(r.run_id, r.current_state) for r in done.tables.runs.collect()} == {("r1", "COMPLETE"), ("r2", "START"), ("r3", "FAIL")}
+    assert done.tables.edges.count() == 6 and done.tables.datasets.count() == 4
+    for number in range(own._count):
+        assert not {"inputs", "outputs", "run_facets", "job_facets"} & set(spark.read.parquet(f"{own.root}/{number}").columns)
+    own.drop()
+
+
+def test_sequences_at_once_and_in_ranges(spark, scratch):
+    rng = random.Random(3)
+    kinds = ["START", "RUNNING", "COMPLETE", "FAIL", "OTHER", "bad"]
+    rows = []
+    for i in range(400):
+        batch = None if i % 29 == 0 else i % 23
+        run = f"r{i % 2}" if batch in (3, 4) else f"r{batch}"
+        time = None if i % 31 == 0 else T0 + dt.timedelta(minutes=rng.randrange(40))
+        kind = "START" if batch == 7 else rng.choice(kinds)
+        rows.append((batch, 1000 - i, run, kind, time, "p", SPEC, "n", "j"))
+    frame = spark.createDataFrame(rows, "batch_id long, arrival long, run_id string, event_type string, event_time timestamp, "
+                                  "producer string, schema_url string, job_namespace string, job_name string").repartition(3)
+    found = []
+    for limit in (validation.WINDOW_EVENTS, 17, 1):
+        got = validation.validate_batches(frame, scratch, window_events=limit)
+        found.append({r.message: (r.arrival, r.run_id, r.event_type, r.batch_id, r.reject_reason) for r in got.collect()})
+    assert len(found[0]) == 400 == len({v[0] for v in found[0].values()}) and found[0] == found[1] == found[2]
+    assert any(v[4] == "invalid_sequence:duplicate_start" for v in found[0].values())
+    groups = {}
+    for batch, arrival, run, _, time, *_ in rows:
+        groups.setdefault(batch, []).append((time or dt.datetime(1, 1, 1), arrival, run))
+    for batch, events in groups.items():
+        one = batch is not None and len({e[2] for e in events}) == 1
+        places = sorted(e[1] for e in events) if one else [e[1] for e in sorted(events, key=lambda e: e[:2])]
+        for event, place in zip(sorted(events, key=lambda e: e[:2]), places):
+            assert found[0][event[1]][0] == place
