@@ -313,7 +313,9 @@ def ordered_trees(g: Given):
 
 @query("g5_events_by_time", "SELECT arrival, run_id, event_time FROM ev WHERE event_time IS NOT NULL ORDER BY event_time, arrival")
 def events_by_time(g: Given):
-    return g.events.filter("event_time IS NOT NULL").select("arrival", "run_id", "event_time").orderBy("event_time", "arrival")
+    # Written, as sorting draws its bounds in a pass of its own.
+    slim = g.scratch.cut(g.heads.select("arrival", "run_id", "event_time").filter("event_time IS NOT NULL"))
+    return slim.orderBy("event_time", "arrival")
 
 
 @query("g6_any_producer", "SELECT dataset_urn, min(job_run_id) AS job_run_id FROM one GROUP BY dataset_urn")

@@ -48,7 +48,7 @@ _TIMES = """SELECT arrival, event_time, event_time_text FROM ev"""
 
 @query("b1_event_time", _TIMES)
 def event_time(g: Given):
-    return g.events.select("arrival", "event_time", "event_time_text")
+    return g.heads.select("arrival", "event_time", "event_time_text")
 
 
 @query("b2_namespace", f"SELECT k, {sql.normalized('namespace')} AS namespace FROM names")
@@ -117,7 +117,7 @@ def match(g: Given):
 
 @query("b10_event_key", "SELECT arrival, idempotency_key FROM ev")
 def event_key(g: Given):
-    return g.events.select("arrival", "idempotency_key")
+    return g.heads.select("arrival", "idempotency_key")
 
 
 @query("b11_producer_name", f"SELECT k, {sql.producer_name('producer')} AS producer_name FROM names")
@@ -204,7 +204,7 @@ def assertion_status(g: Given):
 
 @query("c1_validate_events", f"SELECT arrival, run_id, {sql.REASON} AS reject_reason FROM ev")
 def validate_events(g: Given):
-    return validation.validate_events(g.events).select("arrival", "run_id", "reject_reason")
+    return validation.validate_events(g.heads).select("arrival", "run_id", "reject_reason")
 
 
 @query("c2_validate_datasets", f"""SELECT run_id, arrival, edge_type, namespace, name, CASE WHEN namespace = '' THEN 'dataset_missing_namespace'
@@ -229,14 +229,15 @@ def validate_tests(g: Given):
 def transitions(g: Given):
     from causeway.operators.ordered import arrival_block, with_previous
 
-    slim = g.events.select("run_id", "arrival", "event_type")
+    # Written, as the step back reads it twice and messages are dear to parse.
+    slim = g.scratch.cut(g.heads.select("run_id", "arrival", "event_type"))
     steps = with_previous(slim, ["run_id"], ["arrival"], arrival_block(F.col("arrival")), F.col("event_type"), "before")
     return steps.withColumn("problem", validation.transition_error(F.col("before"), F.col("event_type")))
 
 
 @query("c5_sequences", "SELECT batch_id, run_id, event_count, first_arrival, sequence_error, final_state FROM verdicts")
 def sequences(g: Given):
-    return validation.sequence_errors(g.events, g.scratch)
+    return validation.sequence_errors(g.scratch.cut(g.heads.select("batch_id", "run_id", "arrival", "event_type", "event_time")), g.scratch)
 
 
 @query("n1_staging", "SELECT 'customer' AS kind, id AS row_id, id AS customer_id, name AS label FROM raw_customers "

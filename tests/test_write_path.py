@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from causeway.session import Scratch
+from causeway.functions import event_fields as ef
 from causeway.operators import dedup, ordered, resolution, runs, validation
 from causeway.operators.ingest import ingest
 from causeway.sources import events as event_source
@@ -442,3 +443,28 @@ def test_sequences_at_once_and_in_ranges(spark, scratch):
         places = sorted(e[1] for e in events) if one else [e[1] for e in sorted(events, key=lambda e: e[:2])]
         for event, place in zip(sorted(events, key=lambda e: e[:2]), places):
             assert found[0][event[1]][0] == place
+
+
+def test_single_fields_are_read_as_with_the_whole_event(spark):
+    """Facets and datasets of any shape change none of the single fields, and are not asked for."""
+    good = {"eventTime": "2025-10-21T10:05:00+00:00", "eventType": " START ", "producer": "p", "schemaURL": SPEC,
+            "run": {"runId": "r1", "facets": {"f": {"deep": [1]}}}, "job": {"namespace": "n", "name": "j", "facets": {}}}
+    values = [json.dumps({**good, "inputs": [{"namespace": "a://b", "name": "t", "facets": {"x": "\\"}}], "outputs": None})]
+    values += [json.dumps({**good, **odd}) for odd in (
+        {"inputs": "none"}, {"inputs": [5, {"name": 7}], "outputs": {}}, {"run": {"facets": [], "runId": "r2"}}, {"run": "r3"},
+        {"job": {"name": {"a": 1}, "facets": 5, "namespace": "n"}}, {"eventTime": 5}, {"eventType": None}, {"eventTime": "2025-10-21T9:05:00,50"})]
+    values += [values[0][:90], "[]", "", "null"]
+    frame = spark.createDataFrame([(1, i, T0, value) for i, value in enumerate(values)], "batch_id long, arrival long, ingested_at timestamp, value string")
+    heads = event_source.read_heads(frame)
+    assert "inputs" not in heads.columns and "run_facets" not in heads.columns
+    whole = event_source.read_messages(frame).select(*heads.columns)
+    assert sorted(map(str, heads.collect())) == sorted(map(str, whole.collect())) and heads.count() == 8
+
+
+def test_times_of_whole_seconds(spark):
+    texts = ["2025-10-21T10:05:00", "2025-10-21T10:05:00Z", "2025-10-21T10:05:00-00:00", " 2025-10-21T10:05:00+00:00", "2025-10-21T10:05:00+02:00",
+             "2025-10-21T9:05:00", "2025-10-21T10:05:00.250+02:00", "2025-10-21T10:05:00.0", "2025-10-21T10:05:00+0200", "2025-10-21 10:05:00"]
+    want = ["2025-10-21T10:05:00Z"] * 4 + ["2025-10-21T10:05:00+02:00", "2025-10-21T09:05:00Z", "2025-10-21T10:05:00.25+02:00", "2025-10-21T10:05:00Z", None, None]
+    frame = spark.createDataFrame([(i, text) for i, text in enumerate(texts)], "i long, t string")
+    got = {r.i: r.v for r in frame.select("i", ef.event_time_text(F.col("t")).alias("v")).collect()}
+    assert [got[i] for i in range(len(texts))] == want
