@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from causeway.session import Scratch
 from causeway.functions import event_fields as ef
 from causeway.operators import dedup, ordered, resolution, runs, validation
-from causeway.operators.ingest import ingest
+from causeway.operators.ingest import ingest, key_text, settle
 from causeway.sources import events as event_source
 from causeway.sources.table_store import ExpiringKeys, KeyedTable
 from causeway.streaming import ingest as stream_ingest, reports
@@ -468,3 +468,20 @@ def test_times_of_whole_seconds(spark):
     frame = spark.createDataFrame([(i, text) for i, text in enumerate(texts)], "i long, t string")
     got = {r.i: r.v for r in frame.select("i", ef.event_time_text(F.col("t")).alias("v")).collect()}
     assert [got[i] for i in range(len(texts))] == want
+
+
+def test_keys_go_through_no_table_of_all_events(spark, scratch):
+    """Of the tables that the ingest writes on the way only the first, and that of events with a mark in common, hold keys."""
+    rows = [(1 if i % 3 else None, 10 * i, f"r{i % 40}", "START" if i < 40 else "OTHER", T0 + dt.timedelta(minutes=i % 40), T0 + dt.timedelta(hours=i // 40),
+             "p", SPEC, "n", "j", f"{i % 95:064x}") for i in range(100)]
+    heads = spark.createDataFrame(rows, "batch_id long, arrival long, run_id string, event_type string, event_time timestamp, ingested_at timestamp, "
+                                  "producer string, schema_url string, job_namespace string, job_name string, idempotency_key string")
+    own = Scratch(spark)
+    done = settle(heads, own)
+    assert {r.arrival for r in done.outcomes.filter("outcome = 'duplicate'").collect()} == {10 * i for i in range(95, 100)}
+    keys = {r.arrival: r.idempotency_key for r in done.keyed(done.copies).select(key_text(), "arrival").collect()}
+    assert keys == {10 * i: f"{i:064x}" for i in range(95)}
+    holding = [spark.read.parquet(f"{own.root}/{n}") for n in range(own._count)]
+    counts = [frame.count() for frame in holding if "idempotency_key" in frame.columns]
+    assert counts[0] == 100 and max(counts[1:]) == 10
+    own.drop()
