@@ -345,7 +345,7 @@ def read_batches(g: Given):
     valid = event_source.keep_run_events(g["messages"]).withColumn("part", F.floor(F.col("arrival") / 4096))
     arrays = valid.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("arrival", "value"))).alias("m")).select(
         "part", F.concat(F.lit("["), F.array_join("m.value", ",\n"), F.lit("]")).alias("value"))
-    arrays.write.partitionBy("part").text(path)
+    arrays.write.partitionBy("part").option("compression", "gzip").text(path)
     broken = g.spark.createDataFrame([(-1, "[{broken"), (-2, "[]")], "part long, value string")
     broken.write.mode("append").partitionBy("part").text(path)
     events, _ = event_source.read_event_batch(g.spark, path, g.scratch)

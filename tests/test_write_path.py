@@ -14,6 +14,8 @@ from causeway.sources.table_store import ExpiringKeys, KeyedTable
 from causeway.streaming import ingest as stream_ingest, reports
 from causeway.streaming.ingest import LineageStore
 from causeway.streaming.keyed_state import start_dedup
+from causeway.workload.name_queries import read_batches
+from causeway.workload.registry import Given
 
 T0 = dt.datetime(2024, 1, 1)
 TERMINAL = ("COMPLETE", "FAIL", "ABORT")
@@ -485,3 +487,13 @@ def test_keys_go_through_no_table_of_all_events(spark, scratch):
     counts = [frame.count() for frame in holding if "idempotency_key" in frame.columns]
     assert counts[0] == 100 and max(counts[1:]) == 10
     own.drop()
+
+
+def test_request_files_are_written_compressed(spark):
+    """Files of one array each are read whole, so they may be compressed, and a1 writes its own that way."""
+    given = Given(spark, "/root/testdata/sf0.001")
+    events = read_batches(given)
+    files = [f for f in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{given.scratch.root}/requests").select("path", "length").collect()
+             if "part=-" not in f.path]
+    assert files and all(f.path.endswith(".gz") for f in files)
+    assert events.count() == event_source.keep_run_events(given["messages"]).count()
