@@ -524,3 +524,13 @@ def test_a_key_asks_for_its_state_once(spark):
     assert keep((5,), [(2, 104)]) == ([], (5,), ["get"])
     assert keep((5,), [(2, 105)]) == ([2], (105,), ["get", "update"])
     assert keep(None, [(3, 250), (1, 5)], [(2, 104), (4, 105)]) == ([1, 4, 3], (250,), ["get", "update"])
+
+
+def test_refusal_shuffles_all_events_once(spark, scratch):
+    rows = [(f"r{i % 3}", 10 * i + j, kind, T0 + dt.timedelta(minutes=i + j))
+            for i in range(30) for j, kind in enumerate(("START", "COMPLETE", "FAIL"))]
+    events = scratch.cut(spark.createDataFrame(rows, "run_id string, arrival bigint, event_type string, event_time timestamp"))
+    refused = runs.refused_events(events, scratch=scratch)
+    # All steps after the first read the written events of followed runs, not those of all.
+    assert not set(events.inputFiles()) & set(refused.inputFiles())
+    assert sorted(refused.collect()) == sorted(runs.refused_events(events).collect()) != []
