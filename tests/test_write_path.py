@@ -534,3 +534,28 @@ def test_refusal_shuffles_all_events_once(spark, scratch):
     # All steps after the first read the written events of followed runs, not those of all.
     assert not set(events.inputFiles()) & set(refused.inputFiles())
     assert sorted(refused.collect()) == sorted(runs.refused_events(events).collect()) != []
+
+
+class Recorded(Scratch):
+    """Keeps the columns of every table that is written."""
+
+    def __init__(self, spark):
+        super().__init__(spark)
+        self.written = []
+
+    def cut(self, df):
+        self.written.append(df.columns)
+        return super().cut(df)
+
+
+def test_a_batch_is_settled_over_single_fields(spark, tmp_path):
+    """Datasets of events are written as they are read and as they are stored, not in between; changes only for a refresh."""
+    batch = spark.createDataFrame(
+        [message(1, "a", "START", 0), message(2, "a", "COMPLETE", 5), message(3, "a", "FAIL", 9), message(4, "a", "START", 0)],
+        "batch_id long, arrival long, ingested_at timestamp, value string")
+    store, scratch = LineageStore(spark, str(tmp_path / "store")), Recorded(spark)
+    store._apply(scratch.cut(stream_ingest.counted(batch)[0]), 0, scratch)
+    assert sum("inputs" in columns for columns in scratch.written) == 2
+    assert ["run_id"] not in scratch.written
+    assert [r.arrival for r in store.tables["rejected"].read().collect()] == [3]
+    assert sorted(r.arrival for r in store.keys.read().collect()) == [1, 2]
