@@ -559,3 +559,21 @@ def test_a_batch_is_settled_over_single_fields(spark, tmp_path):
     assert ["run_id"] not in scratch.written
     assert [r.arrival for r in store.tables["rejected"].read().collect()] == [3]
     assert sorted(r.arrival for r in store.keys.read().collect()) == [1, 2]
+
+
+def test_a_run_that_writes_nothing_touches_no_origin_above(spark, scratch, tmp_path):
+    """A check that reads a dataset makes no path new, so the runs above it keep their impact."""
+    store = LineageStore(spark, str(tmp_path / "store"))
+    schema = "batch_id long, arrival long, ingested_at timestamp, value string"
+    check = message(3, "c", "COMPLETE", 5, outputs=False, success=True)
+    check = (*check[:3], check[3].replace('"s.c"', '"s.a"'))
+    assert store.take(spark.createDataFrame([message(1, "a", "START", 0), message(2, "a", "COMPLETE", 2), check], schema), 0)
+    read = {r.dataset_urn for r in store.read().edges.collect() if r.run_id == "c"}
+    assert read & {r.dataset_urn for r in store.read().edges.collect() if r.run_id == "a" and r.edge_type == "output"}
+
+    def touched(batch):
+        checked = scratch.cut(stream_ingest.counted(spark.createDataFrame([batch], schema))[0])
+        return sorted(r.run_id for r in reports.touched_origins(store.read(), stream_ingest.changes(checked, scratch), scratch).collect())
+
+    assert touched(check) == ["c"]
+    assert "a" in touched(message(2, "a", "COMPLETE", 2))
