@@ -199,7 +199,7 @@ def flat_facets(g: Given):
 def assertion_status(g: Given):
     from causeway.operators import tables
 
-    return g.ingested.keep(tables.extract_tests(g.events).select("run_id", "arrival", "test_name", "status"))
+    return g.ingested.keep(tables.extract_tests(g.asserting).select("run_id", "arrival", "test_name", "status"))
 
 
 @query("c1_validate_events", f"SELECT arrival, run_id, {sql.REASON} AS reject_reason FROM ev")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from causeway.session import Scratch
 from causeway.functions import event_fields as ef
-from causeway.operators import dedup, ordered, resolution, runs, validation
+from causeway.operators import dedup, ordered, resolution, runs, tables, validation
 from causeway.operators.ingest import ingest, key_text, settle
 from causeway.sources import events as event_source
 from causeway.sources.table_store import ExpiringKeys, KeyedTable
@@ -577,3 +577,32 @@ def test_a_run_that_writes_nothing_touches_no_origin_above(spark, scratch, tmp_p
 
     assert touched(check) == ["c"]
     assert "a" in touched(message(2, "a", "COMPLETE", 2))
+
+
+def _asserting(key, run, test="t"):
+    return ('{"eventTime":"2024-01-01T00:00:00Z","eventType":"COMPLETE","producer":"p","schemaURL":"' + SPEC + '","run":{"runId":"' + run
+            + '"},"job":{"namespace":"n","name":"j"},"inputs":[{"namespace":"a://b","name":"t","inputFacets":{"' + key
+            + '":{"assertions":[{"assertion":"' + test + '","success":true}]}}}],"outputs":[]}')
+
+
+def test_messages_without_assertions_are_not_parsed_for_tests(spark):
+    """A key may be written with escapes, so only a text without a backslash is told by its letters."""
+    values = [_asserting("dataQualityAssertions", "plain"), _asserting(r"data\u0051ualityAssertions", "escaped"),
+              _asserting("otherFacet", "other"), _asserting("otherFacet", "slash", r"\"t"), "dataQualityAssertions", None]
+    messages = spark.createDataFrame([(1, n, T0, v) for n, v in enumerate(values)],
+                                     "batch_id long, arrival long, ingested_at timestamp, value string")
+    left = messages.filter(tables.may_hold_tests(F.col("value")))
+    assert {r.arrival for r in left.collect()} == {0, 1, 3, 4}
+    found = tables.extract_tests(event_source.read_messages(left)).collect()
+    assert sorted((r.run_id, r.test_name) for r in found) == [("escaped", "t"), ("plain", "t")]
+    assert sorted(r.run_id for r in tables.extract_tests(event_source.read_messages(messages)).collect()) == ["escaped", "plain"]
+
+
+@pytest.mark.parametrize("made", [tables.mentions, tables.slim_mentions, tables.extract_tests, tables.facet_entries])
+def test_events_are_parsed_once_for_what_is_taken_out(spark, scratch, made):
+    """Spark asks of an array that is exploded whether it is empty before it parses the message, and so parses it twice."""
+    messages = scratch.cut(spark.createDataFrame([(1, 1, T0, _asserting("dataQualityAssertions", "r"))],
+                                                 "batch_id long, arrival long, ingested_at timestamp, value string"))
+    rows = made(event_source.read_messages(messages))
+    assert rows._jdf.queryExecution().executedPlan().toString().count("from_json(") == 1
+    assert rows.count() == (0 if made is tables.facet_entries else 1)  # what a check reads has no facets written
