@@ -11,6 +11,7 @@ from causeway.functions import event_fields as ef
 from causeway.operators import dedup, ordered, resolution, runs, tables, validation
 from causeway.operators.ingest import ingest, key_text, settle
 from causeway.sources import events as event_source
+from causeway.sources import table_store
 from causeway.sources.table_store import ExpiringKeys, KeyedTable
 from causeway.streaming import ingest as stream_ingest, reports
 from causeway.streaming.ingest import LineageStore
@@ -606,3 +607,18 @@ def test_events_are_parsed_once_for_what_is_taken_out(spark, scratch, made):
     rows = made(event_source.read_messages(messages))
     assert rows._jdf.queryExecution().executedPlan().toString().count("from_json(") == 1
     assert rows.count() == (0 if made is tables.facet_entries else 1)  # what a check reads has no facets written
+
+
+def test_a_table_has_a_bounded_number_of_buckets(spark, scratch, tmp_path, monkeypatch):
+    """Its rows stay whole, whatever is asked of it, also when all of its buckets are touched."""
+    monkeypatch.setattr(table_store, "MAX_BUCKETS", 4, raising=False)
+    rows = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    table = KeyedTable(spark, str(tmp_path / "table"), rows.schema, ["k"], rows_per_bucket=10)
+    table.insert_missing(rows.filter("k < 30"), scratch)
+    table.upsert(rows, scratch)
+    table.upsert(rows.filter("k % 2 = 0").withColumn("v", F.lit(-1).cast("bigint")), scratch)
+    table.replace(rows.filter("k % 50 = 1"), rows.filter("k % 100 = 1"), scratch)
+    want = {k: -1 if k % 2 == 0 else 2 * k for k in range(1000) if k % 50 != 1 or k % 100 == 1}
+    got = table.read().collect()
+    assert len(got) == len(want) and {r.k: r.v for r in got} == want
+    assert table._buckets() == 4
